@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import canon
+from parcelforge.llm import canon, encode, leak
 from parcelforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +17,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.map_names(table(spark, d, "extract_commune", "cand_id", "candidate", "dep"), table(spark, d, "communes", "nom", "code", "dep", "list_pos"))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_items(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each leaked item is found in."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES: dict[str, Query] = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
 ORACLES: dict[str, str] = {}
