@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import canon, encode, leak
+from parcelforge.llm import canon, encode, format_dups, leak
 from parcelforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_dups.record_copies(table(spark, d, "parcel_records", "rec_id", "parcelles"))
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct records and their numbers of copies."""
+    return format_dups.copy_counts(table(spark, d, "parcel_records", "rec_id", "parcelles"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.map_names(table(spark, d, "extract_commune", "cand_id", "candidate", "dep"), table(spark, d, "communes", "nom", "code", "dep", "list_pos"))
 
@@ -30,5 +39,5 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
 ORACLES: dict[str, str] = {}
