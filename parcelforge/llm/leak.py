@@ -38,14 +38,24 @@ def _marks() -> re.Pattern:
 _MARKS = _marks()
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters and digits after compatibility decomposition, without marks and case."""
+#: Marks of the Latin, Greek and Cyrillic scripts, and signs that are neither letters, digits nor marks; a text of nothing else
+#: beyond ASCII takes the short way.
+_COMMON_MARKS = re.compile("[\u0300-\u034e\u0350-\u036f]+")
+_UNCOMMON = re.compile("[^\x00-\x7f\u0300-\u034e\u0350-\u036f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u205e\u20a0-\u20bf]")
+_BYTES = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Runs of letters and digits after compatibility decomposition, without marks and case, as UTF-8."""
     if text.isascii():
-        return _WORD.findall(text.lower())
-    text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold()
+        return text.encode().translate(_BYTES).split()
+    text = unicodedata.normalize("NFKD", text)
+    if not _UNCOMMON.search(text):  # no letter or digit beyond ASCII: all that is left there separates words
+        return _COMMON_MARKS.sub("", text).encode("ascii", "replace").translate(_BYTES).split()
+    text = _MARKS.sub("", text).casefold()
     if not text.isascii():  # folding case may have made new compositions
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    return _WORD.findall(text)
+    return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text)]
 
 
 class Patterns:
@@ -53,7 +63,7 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int, str | None]], run: int = RUN, block: int = BLOCK) -> None:
         self.run, self.block = run, min(block, run)
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, tuple[int, ...]]] = []
         self.shift: dict[tuple[int, ...], int] = {}
         self.bucket: dict[tuple[int, ...], list[tuple[int, int]]] = {}
