@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import canon, encode, format_dups, leak
+from parcelforge.llm import canon, encode, format_dups, leak, residue
 from parcelforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,5 +39,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_docs(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts are excluded, by what they hold."""
+    v = residue.judged_texts(table(spark, d, "documents", "doc_id", "text"))
+    kind = F.when(~F.col("residue"), "kept").when(F.col("n_fields") > 0, "field").when(F.col("n_notice") >= F.col("n_filler"), "notice").otherwise("filler")
+    return v.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_docs"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}
