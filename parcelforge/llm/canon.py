@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.text import strip_accents
+from parcelforge.operators.joins import bounded
 
 # Abbreviations of words in place names.
 ABBREVIATIONS = {"st": "saint", "ste": "sainte", "s": "sur", "ss": "sous", "gd": "grand", "gde": "grande", "pt": "petit", "pte": "petite", "vx": "vieux", "nd": "notredame"}
@@ -53,11 +54,6 @@ def fold(c: Column) -> Column:
     return out
 
 
-def bounded(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """`df` marked for broadcast if a count shows at most max_rows rows; beyond, Spark chooses a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def entries(reference: DataFrame) -> DataFrame:
     """(e_id, e_code, e_dep, e_key, e_fold, e_len, e_k) of each list entry with a name; e_id is its place in the list."""
     key = F.array_join(words(F.col("nom")), "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import canon, encode, format_dups, leak, residue
+from parcelforge.llm import canon, encode, format_dups, leak, residue, scan
 from parcelforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return format_dups.copy_counts(table(spark, d, "parcel_records", "rec_id", "parcelles"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan.scan_noise(table(spark, d, "doc_pages", "doc_id", "page_no", "text"), table(spark, d, "communes", "nom"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.map_names(table(spark, d, "extract_commune", "cand_id", "candidate", "dep"), table(spark, d, "communes", "nom", "code", "dep", "list_pos"))
 
@@ -50,5 +54,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_docs"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}
