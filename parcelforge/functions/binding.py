@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` bound to a lambda variable, so that naming it several times doesn't copy its expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -43,3 +43,38 @@ def strip_accents(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
+
+
+# Fixed value: characters stripped from the ends of a label.
+LABEL_EDGES = " .,:;()[]{}\t\r\n"
+
+
+def normalize_label(c: Column) -> Column:
+    """Spaces collapsed, label edges stripped, no spaces round hyphens, upper case - in this order."""
+    s = F.trim(collapse_spaces(c), F.lit(LABEL_EDGES))
+    return F.upper(F.regexp_replace(s, r"(?U)\s*-\s*", "-"))
+
+
+def normalize_match(c: Column) -> Column:
+    """A label without accents."""
+    return normalize_label(strip_accents(c))
+
+
+def normalize_commune(c: Column) -> Column:
+    """Name without accents, upper case, stripped before apostrophes and hyphens become spaces (so edge spaces may stay)."""
+    s = F.trim(F.upper(strip_accents(c)), F.lit(" \t\r\n"))
+    return F.regexp_replace(F.regexp_replace(s, r"['-]+", " "), r"(?U)\s+", " ")
+
+
+def alnum_count(c: Column) -> Column:
+    """Number of letters and digits of any script."""
+    return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+
+
+def count_of(c: Column, part: str) -> Column:
+    """Non-overlapping occurrences of a literal."""
+    return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def null_if_empty(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
