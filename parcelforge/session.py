@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -25,8 +26,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def prepared(spark: SparkSession) -> SparkSession:
     """The session, with the one setting the queries rely on: unions whose children are partitioned alike are not zipped by
     partition. Spark 4.1 does that even after adaptive execution has coalesced or split the children differently, and then fails."""
-    if spark.conf.get("spark.sql.unionOutputPartitioning", "false") == "true":
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
