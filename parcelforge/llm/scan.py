@@ -21,7 +21,7 @@ from parcelforge.session import cut_lineage
 CONFUSIONS = (
     ("e", "c"), ("t", "f"), ("a", "@"), ("i", "l"), ("s", "5"), ("o", "0"), ("u", "ii"), ("l", "1"), ("é", "6"), ("d", "cl"),
     ("m", "rn"), ("g", "9"), ("v", "y"), ("b", "6"), ("h", "b"), ("nn", "im"), ("li", "h"), ("ri", "n"), ("cl", "d"), ("E", "F"),
-    ("O", "0"), ("S", "5"), ("I", "1"), ("B", "8"), ("A", "@"), ("i", "1"), ("l", "I"), ("g", "q"), ("w", "vv"), ("z", "2"),
+    ("O", "0"), ("S", "5"), ("I", "1"), ("B", "8"), ("A", "@"), ("i", "1"), ("l", "I"), ("g", "q"), ("w", "vv"), ("z", "2"), ("rn", "m"),
 )
 
 # Letters that stand for digits in a misread number, and those digits.
@@ -151,8 +151,9 @@ def corrections(words: DataFrame) -> DataFrame:
     return best.join(again, "right", "left").select("word", F.coalesce("further", "right").alias("right"))
 
 
-def joined_words(pages: DataFrame, lines: DataFrame, heads: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, n, word) of every line whose last word goes on in the next body line."""
+def joined_words(pages: DataFrame, heads: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, page_no, n, word) of every line whose last word goes on in the next body line, and (doc_id, page_no, word) of the
+    ends of words that stand at the top of a page."""
     first = lambda s: F.element_at(tokens(s), 1)
     at = F.posexplode("body").alias("i", "l")
     nxt = F.when(F.col("i") + 2 <= F.size("body"), F.element_at("body", F.least(F.col("i") + 2, F.size("body"))))
@@ -178,10 +179,11 @@ def joined_words(pages: DataFrame, lines: DataFrame, heads: DataFrame, words: Da
     evidence = spelt.groupBy("stem", "tail").agg(F.max(F.when(F.col("kept") == 0, score)).alias("plain"), F.max(F.when(F.col("kept") == 1, score)).alias("compound"))
     keep = (F.col("compound") > F.col("plain")) | ((F.col("compound") == 0) & (F.col("plain") == 0) & F.col("tail").rlike(r"^\p{Lu}"))
     evidence = evidence.select("stem", "tail", F.when(keep, F.concat("stem", F.lit("-"), "tail")).otherwise(F.concat("stem", "tail")).alias("word"))
-    return both.join(evidence, ["stem", "tail"]).select("doc_id", "page_no", "n", "word")
+    tails = over.select("doc_id", (F.col("page_no") + 1).alias("page_no"), core(F.col("top_word")).alias("word"))
+    return both.join(evidence, ["stem", "tail"]).select("doc_id", "page_no", "n", "word"), tails
 
 
-def misread_words(lines: DataFrame, heads: DataFrame, words: DataFrame) -> DataFrame:
+def misread_words(lines: DataFrame, heads: DataFrame, tails: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, page_no, n, word, right) of every whole word or number with wrong characters."""
     letters, digits = NUMBER_SIGNS
     every = whole_words(lines.select("doc_id", "page_no", "n", "s", "broken", "after_broken"))
@@ -189,7 +191,7 @@ def misread_words(lines: DataFrame, heads: DataFrame, words: DataFrame) -> DataF
     numbers = every.where(mixed).withColumn("right", F.translate("word", letters, digits))
     fixed = every.join(bounded(cut_lineage(corrections(words)), 500_000), "word").where(~mixed)
     cols = ["doc_id", "page_no", "n", "word", "right"]
-    return numbers.select(cols).unionByName(fixed.select(cols)).join(heads, ["doc_id", "page_no", "n"], "left_anti")
+    return numbers.select(cols).unionByName(fixed.select(cols)).join(heads, ["doc_id", "page_no", "n"], "left_anti").join(tails, ["doc_id", "page_no", "word"], "left_anti")
 
 
 def scan_noise(pages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -208,6 +210,7 @@ def scan_noise(pages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     none = F.lit("")
     out = heads.select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("header").alias("kind"), none.alias("word"))
     out = out.unionByName(paged.select("doc_id", "page_no", F.explode("folios").alias("line_no"), F.lit("folio").alias("kind"), none.alias("word")))
-    out = out.unionByName(joined_words(paged, lines, heads, words).select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("hyphen").alias("kind"), "word"))
-    out = out.unionByName(misread_words(lines, heads, words).select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("misread").alias("kind"), F.col("right").alias("word")))
+    joined, tails = joined_words(paged, heads, words)
+    out = out.unionByName(joined.select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("hyphen").alias("kind"), "word"))
+    out = out.unionByName(misread_words(lines, heads, tails, words).select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("misread").alias("kind"), F.col("right").alias("word")))
     return out.distinct()
