@@ -56,19 +56,24 @@ def anagram_value(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda acc, ch: acc + F.xxhash64(ch).bitwiseAND(F.lit((1 << 40) - 1)))
 
 
-def line_key(line: Column) -> Column:
-    """A line without a page number behind it, misreadings and case folded away."""
-    s = F.upper(strip_accents(F.regexp_replace(line, r"\s{2,}[0-9]+$", "")))
-    out = F.translate(F.regexp_replace(s, r"(?U)\s+", " "), *LINE_SIGNS)
+def _folded(upper: Column) -> Column:
+    out = F.translate(upper, *LINE_SIGNS)
     for a, b in LINE_RUNS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
+def line_key(line: Column) -> Column:
+    """A line without a page number behind it, misreadings and case folded away."""
+    s = F.upper(strip_accents(F.regexp_replace(line, r"\s{2,}[0-9]+$", "")))
+    return _folded(F.regexp_replace(s, r"(?U)\s+", " "))
+
+
 def line_pairs(line: Column) -> Column:
     """Pairs of neighbouring words of a line, folded, numbers alike."""
     s = F.upper(strip_accents(F.regexp_replace(line, r"\s{2,}[0-9]+$", "")))
-    words = F.transform(tokens(s), lambda w: F.when(w.rlike(r"^[\p{P}]*[0-9OISL]*[0-9][0-9OISL]*[\p{P}]*$"), F.lit("#")).otherwise(line_key(F.regexp_replace(w, r"(?<=.)[.,;:]$", ""))))
+    s = F.regexp_replace(s, r"(?U)(?<!\S)\p{P}*[0-9OISL]*[0-9][0-9OISL]*\p{P}*(?!\S)", "#")
+    words = tokens(_folded(F.regexp_replace(s, r"(?U)[.,;:](?=\s|$)", "")))
     return let(words, lambda ws: F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))
 
 
@@ -97,9 +102,10 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 def whole_words(rows: DataFrame) -> DataFrame:
     """`rows` of lines exploded to `word`: cores of their tokens but for parts of broken words."""
-    ws = tokens(F.col("s"))
+    bare = F.regexp_replace("s", rf"(?U)(?<!\S)[{_OUTER}]+|[{_OUTER}]+(?!\S)", "")
+    ws = F.split(F.trim(bare), r"(?U)\s+")
     kept = let(ws, lambda w: F.slice(w, F.when(F.col("after_broken"), 2).otherwise(1), F.greatest(F.size(w) - F.col("broken").cast("int") - F.col("after_broken").cast("int"), F.lit(0))))
-    return rows.withColumn("word", F.explode(F.array_distinct(F.transform(kept, core)))).where("word <> ''")
+    return rows.withColumn("word", F.explode(F.array_distinct(kept))).where("word <> ''")
 
 
 def running_lines(lines: DataFrame) -> DataFrame:
