@@ -136,13 +136,11 @@ def word_counts(lines: DataFrame, lexicon: DataFrame | None) -> DataFrame:
 
 def corrections(words: DataFrame) -> DataFrame:
     """(word, right): misread words and the word each most likely was."""
-    spark = words.sparkSession
-    pairs = spark.createDataFrame([(a, b) for a, b in CONFUSIONS], "was string, is string")
-    pairs = pairs.select("was", "is", (anagram_value(F.col("was")) - anagram_value(F.col("is"))).alias("difference"))
     words = words.where((F.length("word") > 1) & ~F.col("word").rlike(r"^[0-9\p{P}]+$"))
     good = words.where((F.col("freq") >= GOOD_WORD) | (F.col("listed") == 1)).select(F.col("word").alias("right"), F.col("freq").alias("right_freq"), F.col("listed").alias("right_listed"), anagram_value(F.col("word")).alias("value"))
-    bad = words.where("listed = 0").join(F.broadcast(pairs), F.expr("contains(word, is)"))
-    bad = bad.select("word", "freq", "was", "is", (anagram_value(F.col("word")) + F.col("difference")).alias("value"))
+    table = F.array(*[F.struct(F.lit(a).alias("was"), F.lit(b).alias("is"), (anagram_value(F.lit(a)) - anagram_value(F.lit(b))).alias("difference")) for a, b in CONFUSIONS])
+    bad = words.where("listed = 0").select("word", "freq", F.explode(F.filter(table, lambda c: F.col("word").contains(c["is"]))).alias("c"))
+    bad = bad.select("word", "freq", F.col("c.was").alias("was"), F.col("c.is").alias("is"), (anagram_value(F.col("word")) + F.col("c.difference")).alias("value"))
     at_place = F.exists(
         F.sequence(F.lit(1), F.length("word")),
         lambda p: (F.substring("word", p, F.length("is")) == F.col("is"))
