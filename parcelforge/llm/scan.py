@@ -112,10 +112,12 @@ def running_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, page_no, n) of header and footer lines among the edge lines of `lines` (doc_id, page_no, n, s, edge)."""
     met = lines.select("edge", F.explode(line_pairs(F.col("s"))).alias("pair")).groupBy("pair").agg(F.count_if("edge").alias("at_edge"), F.count_if(~F.col("edge")).alias("inside"))
     running_text = met.where((F.col("at_edge") > 0) & (F.col("inside") >= INSIDE * F.col("at_edge"))).select("pair", F.lit(1).alias("in_text"))
-    edges = lines.where("edge").select("doc_id", "page_no", "n", line_key(F.col("s")).alias("key"), F.explode(line_pairs(F.col("s"))).alias("pair"))
-    seen = edges.join(bounded(cut_lineage(running_text), 500_000), "pair", "left")
-    scored = seen.groupBy("doc_id", "page_no", "n", "key").agg(F.count("*").alias("pairs"), F.count("in_text").alias("known"), F.collect_set("pair").alias("ps"))
-    strange = cut_lineage(scored.where("pairs > 1 and known * 2 < pairs"))
+    edges = lines.where("edge").select("doc_id", "page_no", "n", "s")
+    pairs = edges.select("doc_id", "page_no", "n", F.explode(line_pairs(F.col("s"))).alias("pair"))
+    # a line's pairs come from one row, so counting them is done before the shuffle
+    scored = pairs.join(bounded(cut_lineage(running_text), 500_000), "pair", "left").groupBy("doc_id", "page_no", "n").agg(F.count("*").alias("pairs"), F.count("in_text").alias("known"))
+    strange = edges.join(scored.where("pairs > 1 and known * 2 < pairs"), ["doc_id", "page_no", "n"])
+    strange = cut_lineage(strange.select("doc_id", "page_no", "n", line_key(F.col("s")).alias("key"), line_pairs(F.col("s")).alias("ps")))
     repeated = strange.groupBy("doc_id", "key").agg(F.min("page_no").alias("a"), F.max("page_no").alias("b")).where("a < b").select("doc_id", "key")
     sure = strange.join(repeated, ["doc_id", "key"], "left_semi")
     head_pairs = sure.select(F.explode("ps").alias("pair")).groupBy("pair").agg(F.count("*").alias("c")).where("c >= 2").select("pair", F.lit(1).alias("in_head"))
@@ -174,16 +176,17 @@ def joined_words(pages: DataFrame, heads: DataFrame, words: DataFrame) -> tuple[
     inside = broken.where("next_n is not null and is_head is null").withColumn("right", F.col("next_word"))
     over = broken.where("next_n is null or is_head").join(tops, ["doc_id", "page_no"]).withColumn("right", F.col("top_word"))
     cols = ["doc_id", "page_no", "n", "left", "right"]
-    both = inside.select(cols).unionByName(over.select(cols)).where("right is not null")
+    both = inside.select(*cols, F.lit(False).alias("over")).unionByName(over.select(*cols, F.lit(True).alias("over"))).where("right is not null")
     stem, tail = core(F.regexp_replace("left", f"[{_HYPHENS}]$", "")), core(F.col("right"))
-    both = both.select("doc_id", "page_no", "n", stem.alias("stem"), tail.alias("tail")).where("stem <> '' and tail <> ''")
+    both = cut_lineage(both.select("doc_id", "page_no", "n", stem.alias("stem"), tail.alias("tail"), "over"))
+    tails = both.where("over").select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.col("tail").alias("word"))
+    both = both.where("stem <> '' and tail <> ''").drop("over")
     spelt = both.select("stem", "tail").distinct().select("stem", "tail", F.explode(F.array(F.struct(F.lit(0).alias("kept"), F.concat("stem", "tail").alias("word")), F.struct(F.lit(1).alias("kept"), F.concat("stem", F.lit("-"), "tail").alias("word")))).alias("w"))
     spelt = spelt.select("stem", "tail", "w.kept", "w.word").join(words, "word", "left")
     score = F.coalesce(F.col("freq") * 2 + F.col("listed"), F.lit(0))
     evidence = spelt.groupBy("stem", "tail").agg(F.max(F.when(F.col("kept") == 0, score)).alias("plain"), F.max(F.when(F.col("kept") == 1, score)).alias("compound"))
     keep = (F.col("compound") > F.col("plain")) | ((F.col("compound") == 0) & (F.col("plain") == 0) & F.col("tail").rlike(r"^\p{Lu}"))
     evidence = evidence.select("stem", "tail", F.when(keep, F.concat("stem", F.lit("-"), "tail")).otherwise(F.concat("stem", "tail")).alias("word"))
-    tails = over.select("doc_id", (F.col("page_no") + 1).alias("page_no"), core(F.col("top_word")).alias("word"))
     return both.join(evidence, ["stem", "tail"]).select("doc_id", "page_no", "n", "word"), tails
 
 
@@ -192,10 +195,10 @@ def misread_words(lines: DataFrame, heads: DataFrame, tails: DataFrame, words: D
     letters, digits = NUMBER_SIGNS
     every = whole_words(lines.select("doc_id", "page_no", "n", "s", "broken", "after_broken"))
     mixed = F.col("word").rlike(rf"^(?=.*[0-9])(?=.*[{letters}])[0-9{letters}]+([.,][0-9{letters}]+)?$")
-    numbers = every.where(mixed).withColumn("right", F.translate("word", letters, digits))
-    fixed = every.join(bounded(cut_lineage(corrections(words)), 500_000), "word").where(~mixed)
-    cols = ["doc_id", "page_no", "n", "word", "right"]
-    return numbers.select(cols).unionByName(fixed.select(cols)).join(heads, ["doc_id", "page_no", "n"], "left_anti").join(tails, ["doc_id", "page_no", "word"], "left_anti")
+    met = every.join(bounded(cut_lineage(corrections(words)), 500_000), "word", "left")
+    met = met.withColumn("right", F.when(mixed, F.translate("word", letters, digits)).otherwise(F.col("right"))).where("right is not null")
+    met = met.select("doc_id", "page_no", "n", "word", "right")
+    return met.join(heads, ["doc_id", "page_no", "n"], "left_anti").join(tails, ["doc_id", "page_no", "word"], "left_anti")
 
 
 def scan_noise(pages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
