@@ -44,7 +44,7 @@ def fold_table() -> np.ndarray:
 
 def key_pattern(fields: tuple[str, ...] = FIELDS) -> re.Pattern:
     """A field's name as a key: before a colon or equals sign, spaces and quotes between; an underscore may be any sign."""
-    names = "|".join(rf"({'[^\\w\\n]*_?[^\\w\\n]*'.join(map(re.escape, f.split('_')))})" for f in fields)
+    names = "|".join(rf"({'[^\\w\\n\\0]*_?[^\\w\\n\\0]*'.join(map(re.escape, f.split('_')))})" for f in fields)
     return re.compile(rf"(?<![^\W_])(?:{names})(?=[\s\"'’»”]*[:=])", re.IGNORECASE)
 
 
@@ -95,7 +95,7 @@ def record_hashes(texts: list[str | None], fields: tuple[str, ...] = FIELDS) ->
     parts = [composed(t) if t else "" for t in texts]
     starts = np.zeros(n + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=starts[1:])
-    whole = "\n".join(parts) + "\n"
+    whole = "\0".join(parts) + "\0"  # no space, so that no key reaches over a record's end
     code = folded(whole)
     # segments: from the end of a key to the start of the next, and what stands before the first key of a record
     keys = [(m.start(), m.end(), m.lastindex) for m in key_pattern(fields).finditer(whole)]
@@ -106,10 +106,10 @@ def record_hashes(texts: list[str | None], fields: tuple[str, ...] = FIELDS) ->
     name = np.concatenate([np.zeros(n, np.int64), k_id])
     order = np.argsort(begin, kind="stable")
     begin, name = begin[order], name[order]
-    bounds = np.sort(np.concatenate([starts[1:], k_at]))
-    stop = bounds[np.searchsorted(bounds, begin, side="left")]
+    # a segment stops at the next key or at the end of its record
+    next_key = np.append(k_at, len(code))[np.searchsorted(k_at, begin, side="left")]
+    stop = np.minimum(next_key, starts[np.searchsorted(starts, begin, side="right")])
     owner = np.searchsorted(starts, begin, side="right") - 1
-    owner = np.minimum(owner, n - 1)
 
     kept = code > 0
     index = np.zeros(len(code) + 1, np.int64)
