@@ -27,35 +27,47 @@ LISTS = {7: "/", 8: ","}
 TRUSTED = {1: False, 2: False, 3: True, 4: True, 5: True, 6: False, 7: False, 8: True}
 
 
-def _pairs(df: DataFrame, rule: int, text: Column, pattern: str) -> DataFrame:
-    """(doc_id, rule_no, line_no, pos, section, number, trusted) of every match."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("section"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("number"))
-    at = F.col("line_no") if "line_no" in df.columns else F.lit(0)
-    rows = df.select("doc_id", at.alias("line_no"), F.posexplode(found).alias("pos", "m"))
-    return rows.select("doc_id", F.lit(rule).alias("rule_no"), "line_no", "pos", F.col("m.section").alias("section"), F.col("m.number").alias("number"), F.lit(TRUSTED[rule]).alias("trusted"))
+def _matches(rule: int, text: Column, pattern: str, line_no: Column) -> Column:
+    """Array of (rule_no, line_no, pos, section, number, trusted) of every match."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("n"))
+    return F.transform(
+        found,
+        lambda m, i: F.struct(
+            F.lit(rule).alias("rule_no"), line_no.cast("int").alias("line_no"), i.alias("pos"), m["s"].alias("section"), m["n"].alias("number"), F.lit(TRUSTED[rule]).alias("trusted")
+        ),
+    )
+
+
+def _text_matches(rule: int) -> Column:
+    """Rules 1 to 3 over a whole text, 7 and 8 over its lists of references with one separator and at most one last item after
+    `et`; a list stands for a line."""
+    if rule in RULES:
+        return _matches(rule, F.col("text"), RULES[rule], F.lit(0))
+    item, sep = ITEM.replace("(", "").replace(")", ""), LISTS[rule]
+    whole = rf"(?i){item}(?:\s*{sep}\s*{item})+(?:\s+et\s+{item})?"
+    lists = F.regexp_extract_all(collapse_spaces(F.col("text")), F.lit(whole), 0)
+    return F.flatten(F.transform(lists, lambda x, i: _matches(rule, F.upper(x), ITEM, i)))
 
 
-def text_rule(df: DataFrame, rule: int) -> DataFrame:
-    """Rules 1 to 3 over whole texts."""
-    return _pairs(df, rule, F.col("text"), RULES[rule])
+def _line_matches(rule: int) -> Column:
+    """Rules 4 to 6 over a line; 4 and 5 take its first match, 6 all, with longer sections inside blocks."""
+    at = F.col("line_no")
+    if rule == 6:
+        return F.when(F.col("in_block"), _matches(6, F.col("norm"), GENERAL % 2, at)).otherwise(_matches(6, F.col("norm"), GENERAL % 1, at))
+    return F.slice(_matches(rule, F.col("norm"), RULES[rule], at), 1, 1)
 
 
-def row_rule(context: DataFrame, rule: int) -> DataFrame:
-    """Rules 4 to 6 over the lines in context; 4 and 5 take a line's first match, 6 all, with longer sections inside blocks."""
-    rows = context.where("scanned")
-    if rule == 6:
-        inside = _pairs(rows.where("in_block"), 6, F.col("norm"), GENERAL % 2)
-        return inside.unionByName(_pairs(rows.where("not in_block"), 6, F.col("norm"), GENERAL % 1))
-    return _pairs(rows, rule, F.col("norm"), RULES[rule]).where("pos = 0")
+def _exploded(df: DataFrame, matches: list[Column]) -> DataFrame:
+    return df.select("doc_id", F.explode(F.concat(*matches)).alias("m")).select("doc_id", "m.*")
 
 
-def list_rule(df: DataFrame, rule: int) -> DataFrame:
-    """Rules 7 and 8: lists of references with one separator, at most one last item after `et`."""
-    item, sep = ITEM.replace("(", "").replace(")", ""), LISTS[rule]
-    whole = rf"(?i){item}(?:\s*{sep}\s*{item})+(?:\s+et\s+{item})?"
-    lists = df.select("doc_id", F.posexplode(F.regexp_extract_all(collapse_spaces(F.col("text")), F.lit(whole), 0)).alias("line_no", "list"))
-    rows = _pairs(lists, rule, F.col("list"), "(?i)" + ITEM)
-    return rows.withColumn("section", F.upper("section"))
+def text_rule(df: DataFrame, rule: int) -> DataFrame:
+    return _exploded(df, [_text_matches(rule)])
+
+
+def row_rule(context: DataFrame, rule: int) -> DataFrame:
+    """One of the rules over the lines in context."""
+    return _exploded(context.where("scanned"), [_line_matches(rule)])
 
 
 def guard(pairs: DataFrame) -> DataFrame:
@@ -74,14 +86,11 @@ def first_occurrences(pairs: DataFrame) -> DataFrame:
 
 
 def all_pairs(df: DataFrame) -> DataFrame:
-    """Every rule's pairs, guarded. Null texts give none."""
-    df = df.where("text is not null")
-    context = L.line_context(L.text_lines(df))
-    parts = [text_rule(df, 1), text_rule(df, 2), text_rule(df, 3), row_rule(context, 4), row_rule(context, 5), row_rule(context, 6), list_rule(df, 7), list_rule(df, 8)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return guard(out)
+    """Every rule's pairs, guarded: texts and lines are each gone through once for all their rules. Null texts give none."""
+    df = df.where("text is not null").select("doc_id", "text")
+    texts = _exploded(df, [_text_matches(k) for k in (1, 2, 3, 7, 8)])
+    rows = _exploded(L.line_context(L.text_lines(df)).where("scanned"), [_line_matches(k) for k in (4, 5, 6)])
+    return guard(texts.unionByName(rows))
 
 
 def document_parcels(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from parcelforge.operators import communes as C
 from parcelforge.operators import lines as L
 from parcelforge.operators import parcels as P
 from parcelforge.operators import verify as V
+from parcelforge.session import cut_lineage
 
 
 def document_records(deeds: DataFrame, communes: DataFrame, reference: DataFrame) -> DataFrame:
@@ -22,9 +23,9 @@ def document_records(deeds: DataFrame, communes: DataFrame, reference: DataFrame
     code, label = detected_act(F.coalesce("text", F.lit("")))
     docs = with_filename(deeds.select("doc_id", "filename", "text")).withColumn("document_type", F.coalesce("document_type", code)).withColumn("document_type_label", label)
     texts = deeds.select("doc_id", "text").where("text is not null")
-    raw = C.document_communes(L.text_lines(texts))
+    raw = cut_lineage(C.document_communes(L.text_lines(texts)))  # one short row a document, read by the matching and the record
     names = C.match_names(raw, communes.where(F.col("dep").isin(*C.DEPARTMENTS)))
-    named = raw.join(names, "candidate", "left").select("doc_id", F.coalesce("nom", "candidate").alias("commune"), F.col("code").alias("code_insee"))
+    named = cut_lineage(raw.join(names, "candidate", "left").select("doc_id", F.coalesce("nom", "candidate").alias("commune"), F.col("code").alias("code_insee")))
     parcels = P.document_parcels(texts).join(named.select("doc_id", "code_insee"), "doc_id", "left")
     kept = V.confirmed_or_all(V.verify(parcels, V.reference_features(reference)))
     one = F.struct("ord", "section", "number", "ign_verified", "idu", "nom_com", "contenance_ha", "bbox")

@@ -228,12 +228,12 @@ def parcel_row_general(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_rule_sql(E7, name="e7"))
 def parcel_list_slash(spark: SparkSession, d: str) -> DataFrame:
-    return P.list_rule(_deeds(spark, d), 7).select(PAIR_COLS)
+    return P.text_rule(_deeds(spark, d), 7).select(PAIR_COLS)
 
 
 @query(_rule_sql(E8, name="e8"))
 def parcel_list_comma(spark: SparkSession, d: str) -> DataFrame:
-    return P.list_rule(_deeds(spark, d), 8).select(PAIR_COLS)
+    return P.text_rule(_deeds(spark, d), 8).select(PAIR_COLS)
 
 
 @query(f"WITH {ALL_RULES} SELECT {', '.join(PAIR_COLS)}, trusted FROM guarded")
