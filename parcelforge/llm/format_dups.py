@@ -34,7 +34,8 @@ _POINT = ord(".")
 def fold_table() -> np.ndarray:
     """Folded code of every code point: 0 for one that is skipped (neither letter, number nor mark), else its lower case."""
     table = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
+    table[0x20000:0x40000] = np.arange(0x20000, 0x40000)  # ideographs; what lies beyond is no writing of content
+    for c in range(0x20000):
         ch = chr(c)
         if unicodedata.category(ch)[0] in "LNM":
             low = ch.lower()
