@@ -21,7 +21,7 @@ def duck(sf):
 
 
 def cell(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or (not isinstance(x, (list, str)) and not hasattr(x, "tolist") and pd.isna(x)) or x != x:
         return "NULL"
     if isinstance(x, bool):
         return str(x)
