@@ -91,6 +91,38 @@ found AS (
   FROM judged WHERE living = 0)
 """
 
+_N = "[0-9]+(?:[.,][0-9]+)?"
+_UNIT_SQL = {"km2": "km ?2|kilom[eè]tres? carr[eé]s?", "ha": "hectares?|ha", "a": "ares?|a", "m2": "m[eè]tres? carr[eé]s?|m ?2|centiares?|ca"}
+
+_P4_SQL = f"""
+WITH c AS (SELECT verif_id, source, verified_at AS t, contenance_ha AS ha,
+    regexp_replace(replace(lower(contenance), '²', '2'), '[\\s\\x{{00A0}}\\x{{202F}}\\x{{2009}}]+', ' ', 'g') AS s FROM verify_parcelle),
+o1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '([0-9])o', '\\1~', 'g'), 'o([0-9])', '~\\1', 'g'), '(^|[^a-zà-ÿ0-9])o( ?(?:ha|a|ca)(?:$|[^a-zà-ÿ]))', '\\1~\\2', 'g') AS z FROM c),
+o2 AS (SELECT * EXCLUDE (s, z), regexp_replace(replace(z, '~', '0'), '([0-9]) ([0-9]{{3}})($|[^0-9])', '\\1\\2\\3', 'g') AS s FROM o1),
+f AS (SELECT *, string_split_regex(s, '\\(|=|\\bsoit\\b')[1] AS head FROM o2),
+g AS (SELECT *, CASE WHEN regexp_matches(head, '[0-9]') THEN head ELSE s END AS one FROM f),
+q AS (SELECT *, {", ".join(f"nullif(regexp_extract(one, '({_N}) ?(?:{p})(?:$|[^a-zà-ÿ])', 1), '') AS n{i}" for i, p in enumerate(_UNIT_SQL.values()))},
+    {", ".join(f"try_cast(replace(nullif(regexp_extract(s, '(?:^|[^a-zà-ÿ]){u} ?[:=] ?({_N})', 1), ''), ',', '.') AS DOUBLE) AS l{u}" for u in ("ha", "a", "ca"))},
+    try_cast(replace(nullif(regexp_extract(s, '^ ?({_N}) ?$', 1), ''), ',', '.') AS DOUBLE) AS bare FROM g),
+v AS (SELECT *, CASE WHEN coalesce(lha, la, lca) IS NOT NULL THEN coalesce(lha, 0) * 10000 + coalesce(la, 0) * 100 + coalesce(lca, 0)
+    WHEN n0 IS NOT NULL THEN try_cast(replace(n0, ',', '.') AS DOUBLE) * 1000000
+    WHEN regexp_matches(n1, '[.,]') THEN try_cast(replace(n1, ',', '.') AS DOUBLE) * 10000
+    WHEN regexp_matches(n2, '[.,]') THEN coalesce(CAST(n1 AS DOUBLE), 0) * 10000 + try_cast(replace(n2, ',', '.') AS DOUBLE) * 100
+    WHEN coalesce(n1, n2, n3) IS NOT NULL THEN coalesce(CAST(n1 AS DOUBLE), 0) * 10000 + coalesce(CAST(n2 AS DOUBLE), 0) * 100 + coalesce(try_cast(replace(n3, ',', '.') AS DOUBLE), 0) END AS said,
+    coalesce(ha, bare) * CASE (SELECT max(unit) FROM source_units u WHERE u.source = q.source AND (valid_from IS NULL OR valid_from <= t) AND (valid_to IS NULL OR t < valid_to))
+      WHEN 'ha' THEN 10000 WHEN 'a' THEN 100 WHEN '1000 m2' THEN 1000 ELSE 1 END AS given FROM q)
+SELECT verif_id, CAST(round(max(coalesce(said, given))) AS BIGINT) AS area_m2 FROM v WHERE coalesce(said, given) IS NOT NULL GROUP BY verif_id"""
+
+_QUOTES = '"(?:[^"]|"")*"|«[^»]*»'
+_P5_SQL = f"""
+WITH c AS (SELECT DISTINCT doc_id, parcelles, array_to_string(list_transform(regexp_extract_all(parcelles, '{_QUOTES}|[^"«]+'),
+    lambda x: CASE WHEN x[1] IN ('"', '«') THEN x ELSE regexp_replace(x, '(^|\\s)et(\\s|$)', '\\1;\\2', 'g') END), '') AS s FROM deeds WHERE parcelles IS NOT NULL),
+l AS (SELECT doc_id, list_filter(list_transform(
+    regexp_extract_all(s, '(?:{_QUOTES}|[0-9]+(?:[,./+][0-9]+)+|\\([^()]*\\)|[^,;|/+\\t\\n"«])+'), lambda x: trim(x)),
+    lambda x: trim(x, ' "«»') <> '') AS ws FROM c),
+n AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM l)
+SELECT DISTINCT doc_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_full_match(w, '"(?:[^"]|"")*"') THEN trim(replace(w[2:-2], '""', '"')) WHEN regexp_full_match(w, '«[^»]*»') THEN trim(w[2:-2]) ELSE w END AS value FROM n"""
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -101,5 +133,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "p2_found": _P2_SQL + "SELECT * FROM found",
+    "p4_found": _P4_SQL,
+    "p5_found": _P5_SQL,
     "p2_report": _P2_SQL + "SELECT src_table, period, ref, reason, count(*) AS n_refs FROM found GROUP BY ALL",
 }
