@@ -55,4 +55,56 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
-ORACLES: dict[str, str] = {}
+
+# p1: every named field's value, folded, the fields in one order.
+_KEYS = "|".join(f.replace("_", "[^a-zà-ÿ0-9]?") for f in format_dups.FIELDS)
+
+
+def _sql_field(name: str) -> str:
+    key = name.replace("_", "[^a-zà-ÿ0-9]?")
+    value = f"""regexp_extract(lower(parcelles), '(?:^|[^a-zà-ÿ0-9]){key}["'' ]*[:=]((?s).*?)(?:[^a-zà-ÿ0-9](?:{_KEYS})["'' ]*[:=]|$)', 1)"""
+    return f"coalesce(nullif('{name}=' || regexp_replace(regexp_replace({value}, '([0-9])[.,]([0-9])', '\\1~\\2', 'g'), '[^\\pL\\pN~]', '', 'g') || ';', '{name}=;'), '')"
+
+
+_P1_SQL = f"""
+WITH c AS (SELECT rec_id, {" || ".join(map(_sql_field, format_dups.FIELDS))} AS body FROM parcel_records WHERE trim(parcelles) <> ''),
+g AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY body) AS keep_id, body FROM c WHERE body <> '')
+"""
+
+# p6: the same folding, every span against every entry.
+_ABBREVIATED = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in canon.ABBREVIATIONS.items())
+
+
+def _sql_words(x: str) -> str:
+    s = f"regexp_replace(lower(strip_accents({x})), '[''’`]', ' ', 'g')"
+    s = f"regexp_replace(replace({s}, '/', ' sur '), '\\bs[\\s.-]*sur\\b', 'sur', 'g')"
+    return f"list_transform(list_filter(string_split_regex({s}, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE w {_ABBREVIATED} ELSE w END)"
+
+
+def _sql_fold(x: str) -> str:
+    s = f"CASE WHEN regexp_matches({x}, '[a-z]') THEN translate({x}, '{canon.LOOKALIKES[0]}', '{canon.LOOKALIKES[1]}') ELSE {x} END"
+    for a, b in canon.LOOKALIKE_RUNS:
+        s = f"replace({s}, '{a}', '{b}')"
+    return s
+
+
+_P6_SQL = f"""
+WITH e0 AS (SELECT list_pos, code, dep, array_to_string({_sql_words("nom")}, '') AS ek FROM communes),
+e AS (SELECT *, {_sql_fold("ek")} AS ef FROM e0),
+ents AS (SELECT *, CASE {" ".join(f"WHEN length(ef) >= {n} THEN {k}" for n, k in canon.EDITS)} END AS k FROM e WHERE ef <> ''),
+names AS (SELECT candidate, coalesce(dep, '') AS dep, coalesce(nullif(coalesce(dep, ''), ''), nullif(regexp_extract(candidate, '\\(\\s*([0-9]{{2}}|2[AB])\\s*\\)', 1), ''),
+    nullif(regexp_extract(candidate, '(?:^|[^0-9])([0-9]{{2}})[0-9]{{3}}(?:$|[^0-9])', 1), '')) AS hint, nullif(regexp_extract(candidate, '(?:^|[^0-9])([0-9]{{5}})(?:$|[^0-9])', 1), '') AS said, {_sql_words("candidate")} AS ws
+  FROM (SELECT DISTINCT candidate, dep FROM extract_commune WHERE trim(candidate) <> '')),
+starts AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM names),
+spans AS (SELECT DISTINCT candidate, dep, hint, said, array_to_string(ws[i:j], '') AS sk FROM (SELECT *, unnest(range(i, least(len(ws), i + {canon.MAX_WORDS - 1}) + 1)) AS j FROM starts)),
+folded AS (SELECT *, {_sql_fold("sk")} AS sf FROM spans),
+met AS (SELECT f.*, ents.code, ents.dep AS dep_1, list_pos, ek, ef, levenshtein(sf, ef) AS lev FROM folded f JOIN ents ON abs(length(sf) - length(ef)) <= k AND levenshtein(sf, ef) <= k),
+best AS (SELECT candidate, dep, code FROM (SELECT m.candidate, m.dep, m.code, row_number() OVER (PARTITION BY m.candidate, m.dep
+    ORDER BY length(ef) - 3 * lev DESC, least(levenshtein(sk, ek), 15), coalesce(said = code, false) DESC, coalesce(hint = dep_1, false) DESC, list_pos) AS r FROM met m) WHERE r = 1)
+SELECT cand_id, coalesce(b.code, 'unmatched') AS code FROM extract_commune c LEFT JOIN best b ON b.candidate = c.candidate AND b.dep = coalesce(c.dep, '') WHERE trim(c.candidate) <> ''"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": _P1_SQL + "SELECT keep_id, rec_id FROM g WHERE keep_id <> rec_id",
+    "p1_records": _P1_SQL + "SELECT keep_id AS rec_id, count(*) AS n_copies FROM g GROUP BY keep_id",
+    "p6_found": _P6_SQL,
+}
