@@ -103,7 +103,19 @@ best AS (SELECT candidate, dep, code FROM (SELECT m.candidate, m.dep, m.code, ro
     ORDER BY length(ef) - 3 * lev DESC, least(levenshtein(sk, ek), 15), coalesce(said = code, false) DESC, coalesce(hint = dep_1, false) DESC, list_pos) AS r FROM met m) WHERE r = 1)
 SELECT cand_id, coalesce(b.code, 'unmatched') AS code FROM extract_commune c LEFT JOIN best b ON b.candidate = c.candidate AND b.dep = coalesce(c.dep, '') WHERE trim(c.candidate) <> ''"""
 
+
+
+# p8: every run of words as a string. The other engine has no compatibility decomposition; the ligature is the one such sign in words.
+def _sql_runs(table_name: str, key: str) -> str:
+    ws = "regexp_extract_all(replace(strip_accents(lower(replace(text, 'ﬁ', 'fi'))), 'ß', 'ss'), '[\\pL\\pN]+')"
+    return f"SELECT DISTINCT {key}, array_to_string(ws[i:i + {leak.RUN - 1}], ' ') AS run FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {leak.RUN - 2})) AS i FROM (SELECT {key}, {ws} AS ws FROM {table_name} WHERE text IS NOT NULL) x) y"
+
+
+_P8_SQL = f"WITH d AS ({_sql_runs('documents', 'doc_id')}), t AS ({_sql_runs('eval_items', 'item_id')}), f AS (SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (run)) "
+
 ORACLES: dict[str, str] = {
+    "p8_found": _P8_SQL + "SELECT * FROM f",
+    "p8_items": _P8_SQL + "SELECT item_id, count(*) AS n_docs FROM f GROUP BY item_id",
     "p1_found": _P1_SQL + "SELECT keep_id, rec_id FROM g WHERE keep_id <> rec_id",
     "p1_records": _P1_SQL + "SELECT keep_id AS rec_id, count(*) AS n_copies FROM g GROUP BY keep_id",
     "p6_found": _P6_SQL,
