@@ -26,6 +26,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scan.scan_noise(table(spark, d, "doc_pages", "doc_id", "page_no", "text"), table(spark, d, "communes", "nom"))
 
 
+def p3_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Readable paragraphs of every page."""
+    return scan.repaired_pages(table(spark, d, "doc_pages", "doc_id", "page_no", "text"), table(spark, d, "communes", "nom"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.map_names(table(spark, d, "extract_commune", "cand_id", "candidate", "dep"), table(spark, d, "communes", "nom", "code", "dep", "list_pos"))
 
@@ -54,7 +59,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_docs"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_pages": p3_pages, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
 
 # p1: every named field's value, folded, the fields in one order.
 _KEYS = "|".join(f.replace("_", "[^a-zà-ÿ0-9]?") for f in format_dups.FIELDS)

@@ -221,3 +221,57 @@ def scan_noise(pages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     out = out.unionByName(joined.select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("hyphen").alias("kind"), "word"))
     out = out.unionByName(misread_words(lines, heads, tails, words).select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("misread").alias("kind"), F.col("right").alias("word")))
     return out.distinct()
+
+
+def repaired_pages(pages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, text, goes_on): the readable paragraphs of every page that has any, blank lines between; goes_on tells
+    that the last one goes on on the next page.
+
+    Running lines and page numbers are gone, broken words stand whole where they began, misread words are put right. Fixes meet
+    their page in a join; a page's lines are the most a row ever holds."""
+    paged = cut_lineage(page_lines(pages))
+    lines = paged.select("doc_id", "page_no", F.inline("body"))
+    heads = cut_lineage(running_lines(lines))
+    words = cut_lineage(word_counts(lines, lexicon))
+    joined, tails = joined_words(paged, heads, words)
+    fix = lambda df, kind, bad, right: df.select("doc_id", "page_no", F.struct(F.col("n"), F.lit(kind).alias("kind"), bad.alias("bad"), right.alias("right")).alias("fix"))
+    none = F.lit(None).cast("string")
+    fixes = fix(heads, "head", none, none).unionByName(fix(joined, "hyphen", none, F.col("word"))).unionByName(fix(misread_words(lines, heads, tails, words), "misread", F.col("word"), F.col("right")))
+    per_page = fixes.groupBy("doc_id", "page_no").agg(F.collect_set("fix").alias("fixes"))
+    tops = tails.select("doc_id", "page_no").distinct().withColumn("top_cut", F.lit(True))
+    rows = pages.select(F.col("doc_id").cast("bigint"), F.col("page_no").cast("int"), "text").where("doc_id is not null and page_no is not null and text is not null").distinct()
+    rows = rows.select("doc_id", "page_no", F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), F.trim(F.regexp_replace(x, r"(?U)\s+", " ")).alias("s"))).alias("ls"), F.xxhash64("text").alias("h"))
+    own = paged.select("doc_id", "page_no", "folios", F.col("body.n").alias("body_n")).distinct()
+    rows = rows.join(own, ["doc_id", "page_no"]).where(F.size("ls") >= F.coalesce(F.array_max("body_n"), F.lit(0)))
+    rows = rows.join(per_page, ["doc_id", "page_no"], "left").join(tops, ["doc_id", "page_no"], "left")
+    of = lambda kind: F.transform(F.filter(F.coalesce("fixes", F.array().cast(per_page.schema["fixes"].dataType)), lambda f: f["kind"] == kind), lambda f: f)
+    rows = rows.select("doc_id", "page_no", "ls", F.concat("folios", F.transform(of("head"), lambda f: f["n"])).alias("gone"), of("hyphen").alias("hyphens"), of("misread").alias("bad"), F.coalesce("top_cut", F.lit(False)).alias("top_cut"))
+    rows = rows.withColumn("ls", F.filter("ls", lambda x: ~F.array_contains("gone", x["n"])))
+
+    def right(x: Column) -> Column:
+        mine = F.filter("bad", lambda f: f["n"] == x["n"])
+        word = lambda f: F.concat(F.lit(r"(?<![\p{L}\p{N}@])\Q"), f["bad"], F.lit(r"\E(?![\p{L}\p{N}@])"))
+        return F.aggregate(mine, x["s"], lambda acc, f: F.regexp_replace(acc, word(f), f["right"]))
+
+    def whole(s: Column, x: Column) -> Column:
+        mine = F.filter("hyphens", lambda f: f["n"] == x["n"])
+        ending = F.regexp_extract(s, r"(\S*)$", 1)
+        front = F.regexp_extract(ending, f"^[{_OUTER}]*", 0)
+        return F.when(F.size(mine) > 0, F.concat(F.regexp_replace(s, r"\S+$", ""), front, F.element_at(mine["right"], 1))).otherwise(s)
+
+    fixed = F.transform("ls", lambda x: F.struct(let(right(x), lambda s: whole(s, x)).alias("s"), (F.size(F.filter("hyphens", lambda f: f["n"] == x["n"])) > 0).alias("cut")))
+    # the end of a broken word leaves its line, but for the punctuation behind it
+    start = F.struct(F.lit("").alias("text"), F.col("top_cut").alias("cut"))
+
+    def step(acc: Column, x: Column) -> Column:
+        first = F.regexp_extract(x["s"], r"^\S+", 0)
+        behind = F.regexp_extract(first, f"[{_OUTER}]*$", 0)
+        rest = F.when(acc["cut"], F.concat(behind, F.regexp_replace(x["s"], r"^\S+", ""))).otherwise(x["s"])
+        sep = F.when((acc["text"] == "") | acc["text"].endswith("\n") | (acc["cut"] & (rest.rlike(f"^[{_OUTER}]") | (rest == "") | rest.startswith(" "))), "").otherwise(" ")
+        blank = x["s"] == ""
+        text = F.when(blank, F.when((acc["text"] == "") | acc["text"].endswith("\n") | acc["cut"], acc["text"]).otherwise(F.concat(acc["text"], F.lit("\n\n")))).otherwise(F.concat(acc["text"], sep, rest))
+        return F.struct(text.alias("text"), F.when(blank, acc["cut"]).otherwise(x["cut"]).alias("cut"))
+
+    out = rows.select("doc_id", "page_no", F.aggregate(fixed, start, step, lambda acc: acc["text"]).alias("text")).where(F.trim("text") != "")
+    text = F.regexp_replace("text", r"\s+$", "")
+    return out.select("doc_id", "page_no", text.alias("text"), (~text.rlike(r"[.!?:;»\"]$")).alias("goes_on"))

@@ -61,3 +61,15 @@ def test_anagram_values(spark):
 
     r = spark.createDataFrame([("soumis", "s0umis", "muosis")], "a string, b string, c string").select(*[scan.anagram_value(F.col(c)).alias(c) for c in "abc"], (scan.anagram_value(F.lit("0")) - scan.anagram_value(F.lit("o"))).alias("d")).first()
     assert r.a == r.c and r.b - r.a == r.d
+
+
+def test_repaired_pages(spark):
+    base = corpus(random.Random(9))
+    one = "ÉTUDE SABLON - BAIL 2021\n- 1 -\n\nLes parties conviennent que tout différ-\nend, relatif aux clauses, sera s0umis à une\n\ncommune de Saint-\nVignisart, qui accepte les bicns -\nen l984 et la tentative de conci­"
+    two = "liation. Le géomètre déclare les biens\n\nETUDF SABLON - BAIL 2021   2\n— 2 —"
+    df = spark.createDataFrame([*base, (1, 1, one), (1, 2, two), (1, 2, two), (1, 3, None), (1, 4, " ")], "doc_id bigint, page_no int, text string")
+    rows = scan.repaired_pages(df, spark.createDataFrame([("Saint-Vignisart",)], "nom string")).where("doc_id = 1").orderBy("page_no").collect()
+    assert [(r.page_no, r.text, r.goes_on) for r in rows] == [
+        (1, "Les parties conviennent que tout différend, relatif aux clauses, sera soumis à une\n\ncommune de Saint-Vignisart, qui accepte les biens - en 1984 et la tentative de conciliation", True),
+        (2, ". Le géomètre déclare les biens", True),
+    ]
