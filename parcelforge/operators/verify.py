@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geometry as G
@@ -50,16 +50,19 @@ def verify(parcels: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def confirmed_or_all(verified: DataFrame) -> DataFrame:
-    """Confirmed parcels of each document; where none is confirmed, or none could be checked, all of them."""
-    any_hit = F.max(F.coalesce("ign_verified", F.lit(False))).over(Window.partitionBy("doc_id"))
-    return verified.withColumn("any_hit", any_hit).where(~F.col("any_hit") | F.col("ign_verified")).drop("any_hit")
+    """Confirmed parcels of each document; where none is confirmed, or none could be checked, all of them. Parcels without a
+    document stay. Documents are told apart by an aggregation with a partial step and a join, which a document with very many
+    parcels can't overload as it would a window."""
+    hits = verified.where("ign_verified").select("doc_id").distinct().withColumn("any_hit", F.lit(True))
+    return verified.join(hits, "doc_id", "left").where(F.col("any_hit").isNull() | F.col("ign_verified")).drop("any_hit")
 
 
 def degrade(verified: DataFrame, failed: Column) -> DataFrame:
     """ign_verified and what came with it set null on all parcels of a document of which any lookup failed."""
-    rows = verified.withColumn("failed", F.max(F.coalesce(failed, F.lit(False))).over(Window.partitionBy("doc_id")))
+    bad = verified.where(F.coalesce(failed, F.lit(False))).select("doc_id").distinct().withColumn("failed", F.lit(True))
+    rows = verified.join(bad, "doc_id", "left")
     for c in ("ign_verified", "idu", "nom_com", "contenance_ha", "bbox"):
-        rows = rows.withColumn(c, F.when(~F.col("failed"), F.col(c)))
+        rows = rows.withColumn(c, F.when(F.col("failed").isNull(), F.col(c)))
     return rows.drop("failed")
 
 
