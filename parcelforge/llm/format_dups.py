@@ -226,15 +226,15 @@ def record_copies(df: DataFrame, id_col: str = "rec_id", text_col: str = "parcel
     again under its id is no copy of itself. A field without content counts as missing. A comma or point between two digits is a
     decimal mark and content, the two being one sign. Only the two columns named are read.
 
-    Scale: groups are formed by a hash aggregation of two longs (a group with a third of all rows shrinks to one row a task), and
-    the texts then meet the one text of their group's first row in a join with one row a key on the right, which AQE's skew join
-    splits. Rows that collide without being equal are grouped once more by their spelt-out content, so no row is lost."""
+    Scale: groups are formed by an aggregation on two longs with a partial step (a group with a third of all rows shrinks to one
+    row a task), and the texts then meet the one text of their group's first row in a join with one row a key on the right, which
+    AQE's skew join splits. Rows that collide without being equal are grouped once more by their spelt-out content, so no row is lost."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
     keyed = rows.mapInArrow(_hash_batches(fields), "id bigint, h1 bigint, h2 bigint, body string")
-    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id < last_id").drop("last_id")
-    members = keyed.join(groups, ["h1", "h2"])
-    first = members.where("id = keep_id").groupBy("h1", "h2").agg(F.min("body").alias("first_body"))
-    pairs = members.where("id <> keep_id").join(first, ["h1", "h2"]).select("id", "keep_id", "body", "first_body")
+    groups = keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "body")).alias("first"), F.max("id").alias("last_id")).where("first.id < last_id")
+    groups = groups.select("h1", "h2", F.col("first.id").alias("keep_id"), F.col("first.body").alias("first_body"))
+    # one join, its left side straight from the shuffle, so that AQE can split a hot group's rows
+    pairs = keyed.join(groups, ["h1", "h2"]).where("id <> keep_id").select("id", "keep_id", "body", "first_body")
     checked = cut_lineage(pairs.mapInArrow(_verify_batches(fields), "id bigint, keep_id bigint, other string"))
     same = checked.where("other is null").select("keep_id", "id")
     apart = checked.where("other is not null")
