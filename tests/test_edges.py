@@ -85,6 +85,25 @@ def test_table_boxes(spark):
     assert clean[100:102, 100:500].min() == 255 and clean[400:410, 50:90].max() == 0
 
 
+class Sizes:
+    """An engine that reads the size of what it is given."""
+
+    def read(self, image, language, layout):
+        return f"{image.shape[1]}x{image.shape[0]} {language} {layout}"
+
+
+def test_zones_and_crops(spark, tmp_path):
+    im = page()
+    one = spark.createDataFrame([(1, 1, 800, 600, bytearray(im.tobytes())), (2, 1, 1, 1, None)], "doc_id bigint, page_no int, width int, height int, pixels binary")
+    boxes = spark.createDataFrame([(1, 1, 0, 100, 300, 650, 50), (1, 1, 1, 0, 0, 50, 20)], "doc_id bigint, page_no int, box_idx int, x int, y int, w int, h int")
+    assert images.zone_texts(one, boxes, Sizes()).first().text == "120x60 fra 6\n\n670x70 fra 6"
+    parts = images.crops(one, boxes)
+    assert sorted((r.box_idx, r.width, r.height) for r in parts.collect()) == [(0, 660, 60), (1, 55, 25)]
+    images.write_crops(parts, str(tmp_path / "c"))
+    assert (tmp_path / "c" / "1_1_1.pgm").read_bytes().startswith(b"P5\n55 25\n255\n")
+    assert [r.text for r in images.readings(one, Sizes()).orderBy("pos").limit(1).collect()] == ["1600x1200 fra 3"]
+
+
 def test_text_boxes():
     p = np.zeros((60, 80))
     p[10:12, 20:40] = 0.9
