@@ -18,19 +18,27 @@ from parcelforge.operators.joins import bounded
 # Abbreviations of words in place names.
 ABBREVIATIONS = {"st": "saint", "ste": "sainte", "s": "sur", "ss": "sous", "gd": "grand", "gde": "grande", "pt": "petit", "pte": "petite", "vx": "vieux", "nd": "notredame"}
 
+# Words that stand round a name without being part of it.
+SURROUNDINGS = (
+    "commune communes ville mairie maire territoire village la le les l de du des d a au en et section sections za chef lieu representee par son sa ladite dite"
+    " departement canton"
+).split()
+
 # Signs that scanning mistakes for one another, folded alike on both sides.
 LOOKALIKES = ("0156894", "olsebga")
-LOOKALIKE_RUNS = (("ii", "u"), ("rn", "m"), ("vv", "w"), ("c", "e"))
+LOOKALIKE_RUNS = (("iii", "iu"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("c", "e"))
 
 #: Edits allowed, by the folded length of the entry: below 6 none but 1, then 2, 3, 4.
 EDITS = ((11, 4), (8, 3), (6, 2), (0, 1))
 MAX_EDITS = EDITS[0][1]
+#: Edits allowed where the candidate holds other words than surroundings and numbers beside the span: by the entry's length.
+STRAY_EDITS = ((8, 1), (0, 0))
 MAX_WORDS = 9
 
 
-def edits_of(length: Column) -> Column:
-    out = F.lit(EDITS[-1][1])
-    for least, k in reversed(EDITS[:-1]):
+def edits_of(length: Column, table: tuple[tuple[int, int], ...] = EDITS) -> Column:
+    out = F.lit(table[-1][1])
+    for least, k in reversed(table[:-1]):
         out = F.when(length >= least, k).otherwise(out)
     return out
 
@@ -97,10 +105,13 @@ def probe_plan(spark, longest: int) -> DataFrame:
 
 
 def name_spans(keys: DataFrame, least: int, longest: int) -> DataFrame:
-    """(key_id columns.., s_key, s_fold, n) of every run of at most MAX_WORDS words."""
+    """(key_id columns.., s_key, s_fold, n, stray) of every run of at most MAX_WORDS words; stray: words beside it that are no
+    surroundings."""
     at = F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at")
     rows = keys.where("size(w) > 0").select("*", at).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORDS), F.size("w") - F.col("at") + 1))).alias("many"))
     rows = rows.withColumn("s_key", F.array_join(F.slice("w", F.col("at"), F.col("many")), "")).withColumn("s_fold", fold(F.col("s_key")))
+    beside = F.concat(F.slice("w", F.lit(1), F.col("at") - 1), F.slice("w", F.col("at") + F.col("many"), F.size("w")))
+    rows = rows.withColumn("stray", F.exists(beside, lambda x: ~x.isin(SURROUNDINGS) & ~x.rlike("^[0-9]+$")))
     return rows.withColumn("n", F.length("s_fold")).where((F.col("n") >= least) & (F.col("n") <= longest + MAX_EDITS)).drop("w", "at", "many")
 
 
@@ -135,8 +146,9 @@ def map_names(candidates: DataFrame, reference: DataFrame) -> DataFrame:
 
     spans = name_spans(names.select(*name, "w"), least, longest)
     probes = spans.join(F.broadcast(probe_plan(spark, longest)), "n").withColumn("p_text", F.expr("substring(s_fold, pos, size)"))
-    met = probes.join(bounded(segment_index(ents)), ["p_len", "p_seg", "p_text"]).select(*name, "s_key", "s_fold", "e_id")
-    met = met.join(ents_b, "e_id").withColumn("lev", F.levenshtein("s_fold", "e_fold", MAX_EDITS)).where("lev >= 0 and lev <= e_k")
+    met = probes.join(bounded(segment_index(ents)), ["p_len", "p_seg", "p_text"]).select(*name, "s_key", "s_fold", "stray", "e_id")
+    allowed = F.when(F.col("stray"), edits_of(F.col("e_len"), STRAY_EDITS)).otherwise(F.col("e_k"))
+    met = met.join(ents_b, "e_id").withColumn("lev", F.levenshtein("s_fold", "e_fold", MAX_EDITS)).where((F.col("lev") >= 0) & (F.col("lev") <= allowed))
     # one long orders them: length against edits, exact spelling, code and department named, place in the list
     score = F.col("e_len") - 3 * F.col("lev")
     exact = F.least(F.levenshtein("s_key", "e_key"), F.lit(15))

@@ -9,7 +9,7 @@ LIST = [("Fercereuil-sur-Suippelle", "1", "52", 0), ("Fercereuil", "2", "52", 1)
 CASES = [
     ("Fercereuil-sur-Suippell", None, "1"), ("fercereuil s/ suippelle", None, "1"), ("LA COMMUNE DE FERCEREUIL", None, "2"), ("Mairie de Ste.-Barmauroy (chef-lieu)", None, "3"),
     ("Sainte-Barrnauroy", None, "3"), ("Sainte-Barmau", None, "3"), ("Barp0zac", "51", "5"), ("Barpozac", "08", "4"), ("Barpozac (51)", None, "5"), ("Barpozac", None, "4"), ("  L'Ed0mlacourt ", None, "6"),
-    ("Orsforoy-le-Gd", None, "7"), ("Orsforoy - le - Pt", None, "8"), ("Uhalezenigoity-sur-Suippelle", None, "unmatched"), ("LA SECTION ZA", None, "unmatched"), ("9444", None, "unmatched"), ("?", "52", "unmatched"),
+    ("Orsforoy-le-Gd", None, "7"), ("Orsforoy - le - Pt", None, "8"), ("Uhalezenigoity-sur-Suippelle", None, "unmatched"), ("LA SECTION ZA", None, "unmatched"), ("Kergadoret-sur-Barpoza", None, "4"), ("Kergadoret-sur-Barpaz", None, "unmatched"), ("Orsf0roiii-le-Pt, représentée par son maire", None, "8"), ("9444", None, "unmatched"), ("?", "52", "unmatched"),
     ("mot " * 3000 + "Sainte-Barmauroy", None, "3"),
 ]
 
