@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.binding import let
-from parcelforge.functions.text import strip_accents
+from parcelforge.functions.text import ACCENTED, BARE
 from parcelforge.operators.joins import bounded
 from parcelforge.session import cut_lineage
 
@@ -32,10 +32,14 @@ LINE_SIGNS = ("CFT68BHL1|50QY9@2", "EEEEEEEII" + "ISOOVGAZ")
 LINE_RUNS = (("RN", "M"), ("II", "E"), ("U", "E"), ("NN", "M"), ("IM", "M"), ("RI", "N"), ("EI", "D"))
 
 _HYPHENS = "\\-‐­¬"
+_SPACES = "\t\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x85"
 _OUTER = ".,;:!?()\\[\\]{}«»\"“”„'’…—–/*" + _HYPHENS
 _BROKEN = rf"[\p{{L}}\p{{N}}'’][{_HYPHENS}]$"
 _FOLIO = r"(?iU)^[\s\p{Pd}\[\](){}|.·~*]*(?:(?:page|folio|feuillet|pages?|fol\.?|f°|p\.?)\s*)?([0-9]+)\s*(?:(?:/|sur|de|of|von)\s*[0-9]+)?[\s\p{Pd}\[\](){}|·~*]*$"
 
+#: Accented letters go straight to the class of their bare letter.
+_BARE_CLASSES = BARE.upper().translate(str.maketrans(*LINE_SIGNS))
+
 #: How often a word must be met to correct others, and how many times oftener than the misread form.
 GOOD_WORD, OFTENER = 3, 8
 #: A pair of words is running text if it stands inside pages this many times as often as at their edges.
@@ -47,8 +51,14 @@ def core(word: Column) -> Column:
     return F.regexp_replace(word, f"^[{_OUTER}]+|[{_OUTER}]+$", "")
 
 
+def spaced(line: Column) -> Column:
+    """A line with plain spaces for spaces of any kind, none at its ends."""
+    return F.trim(F.translate(line, _SPACES, " " * len(_SPACES)))
+
+
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
+    """Words of a line with plain spaces."""
+    return F.filter(F.split(line, " +"), lambda w: w != "")
 
 
 def anagram_value(word: Column) -> Column:
@@ -56,24 +66,27 @@ def anagram_value(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda acc, ch: acc + F.xxhash64(ch).bitwiseAND(F.lit((1 << 40) - 1)))
 
 
-def _folded(upper: Column) -> Column:
-    out = F.translate(upper, *LINE_SIGNS)
-    for a, b in LINE_RUNS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+def _signs_folded(upper: Column) -> Column:
+    """Accents and misreadings of single signs folded away in one pass."""
+    return F.translate(upper, ACCENTED + LINE_SIGNS[0], _BARE_CLASSES + LINE_SIGNS[1])
+
+
+def without_page_number(line: Column) -> Column:
+    return F.regexp_replace(line, "  +[0-9]+$", "")
 
 
 def line_key(line: Column) -> Column:
     """A line without a page number behind it, misreadings and case folded away."""
-    s = F.upper(strip_accents(F.regexp_replace(line, r"\s{2,}[0-9]+$", "")))
-    return _folded(F.regexp_replace(s, r"(?U)\s+", " "))
+    out = _signs_folded(F.regexp_replace(F.upper(without_page_number(line)), " +", " "))
+    for a, b in LINE_RUNS:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def line_pairs(line: Column) -> Column:
     """Pairs of neighbouring words of a line, folded, numbers alike."""
-    s = F.upper(strip_accents(F.regexp_replace(line, r"\s{2,}[0-9]+$", "")))
-    s = F.regexp_replace(s, r"(?U)(?<!\S)\p{P}*[0-9OISL]*[0-9][0-9OISL]*\p{P}*(?!\S)", "#")
-    words = tokens(_folded(F.regexp_replace(s, r"(?U)[.,;:](?=\s|$)", "")))
+    s = F.regexp_replace(F.upper(line), "(?<![A-Z0-9])[0-9OISL]*[0-9][0-9OISL]*(?![A-Z0-9])", "#")
+    words = F.split(_signs_folded(F.regexp_replace(s, "[.,;:]( |$)", "$1")), " +")
     return let(words, lambda ws: F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))
 
 
@@ -81,7 +94,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, folios, body): per page the numbers of its folio lines and its other non-blank lines as
     (n, s, broken, after_broken, edge); edge marks the first and last of them. Exactly repeated rows count once."""
     rows = pages.select(F.col("doc_id").cast("bigint"), F.col("page_no").cast("int"), "text").where("doc_id is not null and page_no is not null and text is not null").distinct()
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "").alias("s"))), lambda x: x["s"] != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), spaced(x).alias("s"))), lambda x: x["s"] != "")
 
     def mark(ls: Column) -> Column:
         at_edge = lambda i: (i < 2) | (i >= F.size(ls) - 2)
@@ -89,7 +102,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
         return F.transform(ls, lambda x, i: F.struct(x["n"].alias("n"), x["s"].alias("s"), (at_edge(i) & F.coalesce(number(x) == F.col("page_no"), F.lit(False))).alias("folio")))
 
     def body(ls: Column) -> Column:
-        return F.transform(ls, lambda x: F.struct(x["n"].alias("n"), x["s"].alias("s"), x["s"].rlike(_BROKEN).alias("broken")))
+        return F.transform(ls, lambda x: F.struct(x["n"].alias("n"), x["s"].alias("s"), F.substring(x["s"], -2, 2).rlike(_BROKEN).alias("broken")))
 
     def around(ls: Column) -> Column:
         before = lambda i: F.when(i > 0, F.element_at(ls, F.greatest(i, F.lit(1)))["broken"]).otherwise(False)
@@ -102,22 +115,23 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 def whole_words(rows: DataFrame) -> DataFrame:
     """`rows` of lines exploded to `word`: cores of their tokens but for parts of broken words."""
-    bare = F.regexp_replace("s", rf"(?U)(?<!\S)[{_OUTER}]+|[{_OUTER}]+(?!\S)", "")
-    ws = F.split(F.trim(bare), r"(?U)\s+")
+    bare = F.regexp_replace("s", f"(?<![^ ])[{_OUTER}]+|[{_OUTER}]+(?![^ ])", "")
+    ws = F.split(F.trim(bare), " +")
     kept = let(ws, lambda w: F.slice(w, F.when(F.col("after_broken"), 2).otherwise(1), F.greatest(F.size(w) - F.col("broken").cast("int") - F.col("after_broken").cast("int"), F.lit(0))))
     return rows.withColumn("word", F.explode(F.array_distinct(kept))).where("word <> ''")
 
 
 def running_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, page_no, n) of header and footer lines among the edge lines of `lines` (doc_id, page_no, n, s, edge)."""
-    met = lines.select("edge", F.explode(line_pairs(F.col("s"))).alias("pair")).groupBy("pair").agg(F.count_if("edge").alias("at_edge"), F.count_if(~F.col("edge")).alias("inside"))
+    bare = F.when(F.col("edge"), without_page_number(F.col("s"))).otherwise(F.col("s"))
+    met = lines.select("edge", F.explode(line_pairs(bare)).alias("pair")).groupBy("pair").agg(F.count_if("edge").alias("at_edge"), F.count_if(~F.col("edge")).alias("inside"))
     running_text = met.where((F.col("at_edge") > 0) & (F.col("inside") >= INSIDE * F.col("at_edge"))).select("pair", F.lit(1).alias("in_text"))
     edges = lines.where("edge").select("doc_id", "page_no", "n", "s")
-    pairs = edges.select("doc_id", "page_no", "n", F.explode(line_pairs(F.col("s"))).alias("pair"))
+    pairs = edges.select("doc_id", "page_no", "n", F.explode(line_pairs(without_page_number(F.col("s")))).alias("pair"))
     # a line's pairs come from one row, so counting them is done before the shuffle
     scored = pairs.join(bounded(cut_lineage(running_text), 500_000), "pair", "left").groupBy("doc_id", "page_no", "n").agg(F.count("*").alias("pairs"), F.count("in_text").alias("known"))
     strange = edges.join(scored.where("pairs > 1 and known * 2 < pairs"), ["doc_id", "page_no", "n"])
-    strange = cut_lineage(strange.select("doc_id", "page_no", "n", line_key(F.col("s")).alias("key"), line_pairs(F.col("s")).alias("ps")))
+    strange = cut_lineage(strange.select("doc_id", "page_no", "n", line_key(F.col("s")).alias("key"), line_pairs(without_page_number(F.col("s"))).alias("ps")))
     repeated = strange.groupBy("doc_id", "key").agg(F.min("page_no").alias("a"), F.max("page_no").alias("b")).where("a < b").select("doc_id", "key")
     sure = strange.join(repeated, ["doc_id", "key"], "left_semi")
     head_pairs = sure.select(F.explode("ps").alias("pair")).groupBy("pair").agg(F.count("*").alias("c")).where("c >= 2").select("pair", F.lit(1).alias("in_head"))
@@ -194,7 +208,7 @@ def misread_words(lines: DataFrame, heads: DataFrame, tails: DataFrame, words: D
     """(doc_id, page_no, n, word, right) of every whole word or number with wrong characters."""
     letters, digits = NUMBER_SIGNS
     every = whole_words(lines.select("doc_id", "page_no", "n", "s", "broken", "after_broken"))
-    mixed = F.col("word").rlike(rf"^(?=.*[0-9])(?=.*[{letters}])[0-9{letters}]+([.,][0-9{letters}]+)?$")
+    mixed = F.col("word").rlike("[0-9]") & F.col("word").rlike(rf"^(?=.*[0-9])(?=.*[{letters}])[0-9{letters}]+([.,][0-9{letters}]+)?$")
     met = every.join(bounded(cut_lineage(corrections(words)), 500_000), "word", "left")
     met = met.withColumn("right", F.when(mixed, F.translate("word", letters, digits)).otherwise(F.col("right"))).where("right is not null")
     met = met.select("doc_id", "page_no", "n", "word", "right")
