@@ -22,7 +22,7 @@ RUN = 12
 #: Words of a block.
 BLOCK = 3
 #: Words of test items searched in one pass; more items are searched in several passes over all rows.
-PASS_WORDS = 500_000
+PASS_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
