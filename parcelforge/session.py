@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    return (
+    return prepared(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("parcelforge")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -24,9 +25,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session, with the one setting the queries rely on: unions whose children are partitioned alike are not zipped by
+    """The session, ready for the queries. Python workers on machines that have this package at the same place find it there
+    (elsewhere it comes with --py-files), and unions whose children are partitioned alike are not zipped by
     partition. Spark 4.1 does that even after adaptive execution has coalesced or split the children differently, and then fails."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
 
 
