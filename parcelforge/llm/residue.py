@@ -1,7 +1,7 @@
 """Template residue and error-page text, found by character n-gram models.
 
 One model each for natural prose, headings, site navigation, error and script notices, filler and template fields. Prose and
-headings are learnt from a bounded sample of the corpus, the rest from seed wordings. Every position of a text gets the log
+headings are learnt from all different texts of the corpus besides seed wordings, the rest from seed wordings alone. Every position of a text gets the log
 likelihood of its n-grams under each model, averaged over a window; the best model names the position. A text is excluded if
 notices and filler cover most of what is neither heading nor navigation, or if a window of a template field holds a field that
 is really left open and not only quoted.
@@ -9,10 +9,9 @@ is really left open and not only quoted.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelforge.operators.joins import bounded
+from parcelforge.session import cut_lineage
+
 CLASSES = ("prose", "heading", "navigation", "notice", "filler", "field")
 PROSE, HEADING, NAVIGATION, NOTICE, FILLER, FIELD = range(len(CLASSES))
 
@@ -28,8 +30,6 @@ PROSE, HEADING, NAVIGATION, NOTICE, FILLER, FIELD = range(len(CLASSES))
 NGRAM, BUCKETS, REACH = 5, 1 << 20, 9
 #: Likelihood below which an n-gram tells nothing.
 FLOOR = 3e-7
-#: Sampled rows for prose and headings, and the longest text taken into the sample.
-SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 20_000
 #: Share of notices and filler from which a text is excluded.
 COVERAGE = 0.5
 
@@ -105,7 +105,7 @@ Datenschutz - Impressum
 Menu Fil d'Ariane Partager Imprimer
 """
 
-# Wordings of a decision's head besides those the sample shows.
+# Wordings of a decision's head besides those the corpus shows.
 HEADING_SEEDS = """
 ENTRE : , demeurant à
 ET :
@@ -119,6 +119,35 @@ ARRÊT DU
 JUGEMENT DU
 """
 
+# Seed wordings of prose, for corpora that show little of it.
+PROSE_SEEDS = """
+Vu la procédure suivante : par une requête et un mémoire enregistrés au greffe, la société demande au tribunal d'annuler la décision par laquelle le
+préfet a rejeté sa demande et de mettre à la charge de l'État une somme au titre des frais exposés et non compris dans les dépens. Elle soutient que
+la décision attaquée est entachée d'une erreur de droit et d'une erreur manifeste d'appréciation, qu'elle n'est pas suffisamment motivée et qu'elle
+méconnaît les dispositions du code de l'urbanisme. Par un mémoire en défense, le défendeur conclut au rejet de la requête et fait valoir que les
+moyens soulevés ne sont pas fondés. Considérant qu'il résulte de l'instruction que le contrat de bail a été conclu entre les parties pour une durée
+de neuf ans ; que le bailleur a donné congé au preneur par acte d'huissier ; que le locataire n'a pas réglé les loyers et les charges dus. Attendu que
+la cour d'appel a relevé, par motifs propres et adoptés, que le vendeur avait connaissance des vices cachés de l'immeuble et que l'acquéreur était
+fondé à demander la résolution de la vente ainsi que des dommages et intérêts. Il ressort des pièces du dossier que le salarié a été licencié pour
+faute grave et que l'employeur ne rapporte pas la preuve des faits allégués. En conséquence, il y a lieu de confirmer le jugement déféré en toutes ses
+dispositions, de débouter l'appelant de ses demandes et de le condamner aux dépens. Aux termes de l'article du code civil, les conventions légalement
+formées tiennent lieu de loi à ceux qui les ont faites. Le tribunal, statuant publiquement par jugement contradictoire et en premier ressort, ordonne
+l'expertise, désigne l'expert et dit que les frais seront avancés par la partie demanderesse. La parcelle cadastrée est située dans la commune.
+The claimant brought proceedings against the defendant for breach of contract and sought damages for the loss which had been suffered. The judge found
+that the agreement had been made between the parties and that the terms were clear. It was submitted on behalf of the appellant that the court below
+had erred in law in holding that there was no duty of care. We do not accept that submission. The evidence of the witness was that the tenant had paid
+the rent until the end of the year, and that the landlord had given notice to quit. In our judgment the tribunal was entitled to reach that conclusion
+on the facts before it. The question is whether the statute applies to the circumstances of the present case. Having considered the authorities, I am
+satisfied that the decision was reasonable and that the application must fail. The respondent argued that the claim was out of time and that there was
+no reason to extend the limitation period. For these reasons the appeal is dismissed and the order of the lower court is affirmed with costs.
+Die Klägerin nimmt den Beklagten auf Zahlung von Schadensersatz wegen Verletzung des Vertrages in Anspruch. Das Landgericht hat die Klage abgewiesen,
+das Berufungsgericht hat die dagegen gerichtete Berufung zurückgewiesen. Mit der Revision verfolgt die Klägerin ihr Begehren weiter. Die Revision ist
+unbegründet. Nach den Feststellungen des Gerichts haben die Parteien einen Mietvertrag über das Grundstück geschlossen, der durch die Kündigung des
+Vermieters beendet worden ist. Der Senat ist der Auffassung, dass die Voraussetzungen des Anspruchs nicht vorliegen, weil der Beklagte die Frist
+nicht versäumt hat. Die Entscheidung über die Kosten beruht auf den Vorschriften der Zivilprozessordnung. Das Urteil ist vorläufig vollstreckbar.
+Entgegen der Ansicht der Beschwerde kommt es nicht darauf an, ob die Behörde bei ihrer Entscheidung von einem unrichtigen Sachverhalt ausgegangen ist.
+"""
+
 # Wordings of short orders, which are prose however short the decision is.
 ORDER_SEEDS = """
 Rejette la requête de M. Dépens réservés. Constate le désistement de la société et l'extinction de l'instance.
@@ -148,6 +177,9 @@ OPEN_FIELD = re.compile(
     )"""
 )
 
+#: What an open field or the quotation mark before it can begin with.
+_FIELD_START = re.compile(r"""[«"“”„‟‘’'‚‹{$%\[<#._…]""")
+
 
 @lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
@@ -179,9 +211,8 @@ def buckets(text: str) -> np.ndarray:
     """Bucket of the n-gram that starts at each position (n-grams over the end are padded)."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     s = np.concatenate([symbol_table()[codes], np.full(NGRAM - 1, 28, np.uint8)]).astype(np.uint32)
-    key = np.zeros(len(codes), np.uint32)
-    for i in range(NGRAM):
-        key = (key << np.uint32(6)) ^ s[i : i + len(codes)]
+    two = (s[:-1] << np.uint32(6)) ^ s[1:]
+    key = (((two[:-3] << np.uint32(12)) ^ two[2:-1]) << np.uint32(6)) ^ s[4:]
     return ((key * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
 
 
@@ -195,44 +226,47 @@ def head_of(text: str) -> int:
     return min(at, len(text))
 
 
-@dataclass
 class Models:
-    """Log likelihoods, one row a bucket and one column a class, in quarters of a natural logarithm as small integers."""
-
-    table: np.ndarray
-
-    def classes(self, text: str) -> np.ndarray:
-        """The class of each position."""
-        score = self.table[buckets(text)].astype(np.int32)
-        total = np.zeros((len(score) + 1, score.shape[1]), np.int32)
-        np.cumsum(score, axis=0, out=total[1:])
-        i = np.arange(len(score))
-        low, high = np.maximum(i - REACH, 0), np.minimum(i + REACH - NGRAM + 2, len(score))
-        return (total[np.maximum(high, low + 1)] - total[low]).argmax(axis=1)
-
+    """Log likelihoods of each bucket under each class, in quarters of a natural logarithm. The classes of a bucket lie side by side
+    in one number, ten bits each, so that one running sum adds up all of them; a window's sums fit, and wrapping does no harm to
+    their differences."""
+
+    def __init__(self, counts: np.ndarray):
+        """`counts`: one row a class and one column a bucket."""
+        logs = np.log(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) + FLOOR) - np.log(FLOOR)
+        self.packed = np.zeros(BUCKETS, np.uint64)
+        for k, row in enumerate(np.round(logs * 4).clip(0, 63).astype(np.uint64)):
+            self.packed |= row << np.uint64(10 * k)
+
+    def classes(self, text: str, found: np.ndarray | None = None) -> np.ndarray:
+        """The class of each position of a text (`found`: its buckets, if known); of equals the first."""
+        found = buckets(text) if found is None else found
+        n, behind = len(found), REACH - NGRAM + 2
+        # the running sum with its first value repeated before it and its last one behind it, so that windows end at the text's ends
+        total = np.zeros(REACH + n + 1 + behind, np.uint64)
+        np.cumsum(self.packed[found], out=total[REACH + 1 : REACH + 1 + n])
+        total[REACH + 1 + n :] = total[REACH + n]
+        sums = (total[REACH + behind : REACH + behind + n] - total[:n]).view(np.int64)
+        last = len(CLASSES) - 1
+        best = np.full(n, -1, np.int16)
+        for k in range(last + 1):
+            of_class = (sums >> 10 * k).astype(np.int16)
+            of_class &= 1023
+            of_class <<= 3
+            of_class |= last - k
+            np.maximum(best, of_class, out=best)
+        return last - (best & 7)
 
-def fit_models(sample: list[str]) -> Models:
-    """Models of a sample, fitted twice: first on its longer half, where residue is rare; then on all of it but the texts that the
-    first models would exclude."""
-    first = _count_models(sorted(sample, key=len)[len(sample) // 2 :])
-    return _count_models([t for t in sample if not is_residue(judge(t, first))])
 
-
-def _count_models(sample: list[str]) -> Models:
-    """Count n-grams of each class; prose and headings are what the sample shows, the rest what the seeds say."""
+@lru_cache(maxsize=1)
+def _seed_counts() -> np.ndarray:
+    """N-grams of the classes that only seeds tell of, and of the prose seeds."""
     counts = np.zeros((len(CLASSES), BUCKETS))
 
     def add(k: int, text: str, weight: float = 1.0) -> None:
-        if text:
-            np.add.at(counts[k], buckets(text), weight)
+        np.add.at(counts[k], buckets(text), weight)
 
-    for t in sample:
-        head = head_of(t)
-        add(HEADING, t[:head])
-        add(PROSE, t[head:])
-    for s in HEADING_SEEDS.strip().splitlines():
-        add(HEADING, s + " ", max(1.0, len(sample) / 4))
-    add(PROSE, ORDER_SEEDS, max(1.0, len(sample) / 20))
+    add(PROSE, PROSE_SEEDS)
     for k, seeds in ((NOTICE, NOTICE_SEEDS), (NAVIGATION, NAVIGATION_SEEDS)):
         for s in seeds.strip().splitlines():
             add(k, s + "\n")
@@ -242,9 +276,18 @@ def _count_models(sample: list[str]) -> Models:
         add(FILLER, " ".join(filler[j * (3 + 2 * i) % len(filler)] for j in range(len(filler))), 0.3)
     labels = [v for x in FIELD_LABELS for v in (x, x.replace("_", " "), x.upper())]
     add(FIELD, " ".join(f"{a}{x}{b}" for a, b in FIELD_SIGNS for x in labels) + " ".join(o.format(x) for o in FIELD_ORDERS for x in labels))
-    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    logs = np.log(share + FLOOR) - np.log(FLOOR)
-    return Models(np.round(logs.T * 4).clip(0, 127).astype(np.int8))
+    return counts
+
+
+def models_of(shown: np.ndarray | None = None, texts: float = 0.0) -> Models:
+    """Models of what `texts` decisions have shown, two rows of counts (none: the seeds alone), and of the seeds."""
+    counts = _seed_counts().copy()
+    for s in HEADING_SEEDS.strip().splitlines():
+        np.add.at(counts[HEADING], buckets(s + " "), max(1.0, texts / 4))
+    np.add.at(counts[PROSE], buckets(ORDER_SEEDS), max(1.0, texts / 20))
+    if shown is not None:
+        counts[: len(shown)] += shown
+    return Models(counts)
 
 
 @dataclass
@@ -258,8 +301,12 @@ class Verdict:
 def open_fields(text: str, near: np.ndarray | None = None) -> int:
     """Fields left open. A field right behind an opening quotation mark is quoted, not open; `near` are positions in windows of
     template fields, and only fields touching one count."""
-    n = 0
-    for m in OPEN_FIELD.finditer(text):
+    n = end = 0
+    for start in _FIELD_START.finditer(text):
+        m = OPEN_FIELD.match(text, start.start()) if start.start() >= end else None
+        if m is None:
+            continue
+        end = m.end()
         if m["before"] and m["inner"] is None:
             continue
         if near is None or near[m.start() : m.end()].any():
@@ -267,8 +314,8 @@ def open_fields(text: str, near: np.ndarray | None = None) -> int:
     return n
 
 
-def judge(text: str, models: Models) -> Verdict:
-    k = models.classes(text)
+def judge(text: str, models: Models, found: np.ndarray | None = None) -> Verdict:
+    k = models.classes(text, found)
     size = np.bincount(k, minlength=len(CLASSES))
     fields = open_fields(text, k == FIELD) if size[FIELD] else 0
     return Verdict(int(size[NOTICE]), int(size[FILLER]), int(size[PROSE]), fields)
@@ -279,14 +326,66 @@ def is_residue(v: Verdict, coverage: float = COVERAGE) -> bool:
     return v.fields > 0 or (told >= 8 and told >= coverage * (told + v.prose))
 
 
-def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Models:
-    """Models of a corpus: prose and headings from about `rows` texts of 1 to `chars` characters, those whose hash falls into one
-    of as many classes as make the sample that large, at most 2 x rows. So at most 2 x rows x chars characters come to the driver
-    for any corpus; everything else runs over all rows and whole texts."""
-    classes = max(1, math.ceil(docs.count() / rows))
-    size = F.length("text")
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(classes)) == 0).where((size >= 1) & (size <= chars)).select("text").limit(2 * rows)
-    return fit_models([r["text"] for r in some.collect()])
+def with_text(docs: DataFrame) -> DataFrame:
+    """Rows whose text is not null, empty or blank."""
+    return docs.where(F.col("text").rlike(r"(?U)\S"))
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """(text, weight) of every row with text; the weights of a text's copies add up to one."""
+    h = F.xxhash64("text", F.length("text")).alias("h")
+    copied = with_text(docs).select(h).groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = with_text(docs).select("text", h).join(bounded(cut_lineage(copied), 500_000), "h", "left")
+    return rows.select("text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
+def fit_on(docs: DataFrame) -> Models:
+    """Models of a corpus: prose and headings from all its texts, whole, each different text once, fitted twice. The first fit leaves
+    out the texts that the seeds alone explain as residue, the second those that the first would exclude.
+
+    Each task adds its texts up in one table of buckets; the driver gets at most one row a bucket for any corpus."""
+    texts = different_texts(docs)
+    return _fit(texts, _fit(texts, models_of()))
+
+
+def fit_models(texts: list[str]) -> Models:
+    """What `fit_on` does, of texts at hand."""
+    models = models_of()
+    for _ in range(2):
+        shown, n = _shown(((t, 1.0) for t in dict.fromkeys(texts)), models)
+        models = models_of(shown, n)
+    return models
+
+
+def _shown(texts: Iterable[tuple[str, float]], models: Models) -> tuple[np.ndarray, float]:
+    """Counts of prose and headings, and the weight, of the texts that `models` would not exclude."""
+    counts, n = np.zeros((2, BUCKETS)), 0.0
+    for text, weight in texts:
+        found = buckets(text)
+        if not is_residue(judge(text, models, found)):
+            head = head_of(text)
+            np.add.at(counts[HEADING], buckets(text[:head]), weight)
+            np.add.at(counts[PROSE], found[head:], weight)
+            n += weight
+    return counts, n
+
+
+def _fit(texts: DataFrame, models: Models) -> Models:
+    """Models of `texts` (text, weight) but for those that `models` would exclude."""
+    shared = texts.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = _shown(((t.as_py(), w.as_py()) for batch in batches for t, w in zip(batch.column("text"), batch.column("weight"))), shared.value)
+        at = np.flatnonzero(counts.any(axis=0))
+        if n:  # the weight of all texts goes as bucket -1
+            columns = np.append(at, -1), np.append(counts[PROSE, at], n), np.append(counts[HEADING, at], 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1]), pa.array(columns[2])], ["bucket", "prose", "heading"])
+
+    met = texts.mapInArrow(run, "bucket int, prose double, heading double").groupBy("bucket").agg(F.sum("prose").alias("prose"), F.sum("heading").alias("heading")).toArrow()
+    at, prose, heading = (met.column(c).to_numpy() for c in ("bucket", "prose", "heading"))
+    shown, real = np.zeros((2, BUCKETS)), at >= 0
+    shown[PROSE, at[real]], shown[HEADING, at[real]] = prose[real], heading[real]
+    return models_of(shown, float(prose[~real].sum()))
 
 
 def judged_texts(docs: DataFrame, models: Models | None = None) -> DataFrame:
@@ -302,7 +401,7 @@ def judged_texts(docs: DataFrame, models: Models | None = None) -> DataFrame:
             columns = [pa.array([getattr(v, a) for v in got], pa.int64()) for a in ("notice", "filler", "prose", "fields")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([is_residue(v) for v in got], pa.bool_())], ["doc_id", "n_notice", "n_filler", "n_prose", "n_fields", "residue"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike(r"(?U)\S"))
+    texts = with_text(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return texts.mapInArrow(run, "doc_id bigint, n_notice bigint, n_filler bigint, n_prose bigint, n_fields bigint, residue boolean")
 
 

@@ -68,3 +68,22 @@ def test_frame(spark):
     got = [r.doc_id for r in residue.residue_docs(df).collect()]
     assert got == [103]
     assert residue.residue_docs(df.limit(0)).count() == 0
+
+
+FILLER = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. "
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+def test_frequent_copies_stay_residue(spark):
+    """Long copies of one text with a third of all rows aren't learnt as prose."""
+    texts = [prose(30, i) for i in range(60)] + [FILLER * 60] * 30
+    assert {r.doc_id for r in residue.residue_docs(frame(spark, texts)).collect()} == set(range(60, 90))
+
+
+def test_copies_count_once(spark):
+    rows = [(prose(5), 1.0), (prose(6), 0.25)]
+    got = residue.different_texts(frame(spark, [prose(5)] + [prose(6)] * 4 + [None, " "])).distinct().collect()
+    assert {(r.text, r.weight) for r in got} == set(rows)
