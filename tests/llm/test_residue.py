@@ -87,3 +87,17 @@ def test_copies_count_once(spark):
     rows = [(prose(5), 1.0), (prose(6), 0.25)]
     got = residue.different_texts(frame(spark, [prose(5)] + [prose(6)] * 4 + [None, " "])).distinct().collect()
     assert {(r.text, r.weight) for r in got} == set(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5])
+def test_few_or_long_texts_to_learn_from(spark, n):
+    """Decisions are kept in small tables, beside rows without text, and where all texts are long; rows of residue are not."""
+    for size in (3, 400):
+        texts = [prose(size, i) for i in range(n)] + ["Page not found. Access denied."] + [None, ""] * 20
+        assert [r.doc_id for r in residue.residue_docs(frame(spark, texts)).collect()] == [n]
+
+
+def test_seeds_alone_keep_decisions():
+    models = residue.models_of()
+    assert not any(residue.is_residue(residue.judge(t, models)) for t in [prose(3), prose(3000), *(HEAD + p for p in PARTS)])
+    assert residue.is_residue(residue.judge(FILLER * 200, models))
