@@ -121,10 +121,20 @@ def whole_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("word", F.explode(F.array_distinct(kept))).where("word <> ''")
 
 
-def running_lines(lines: DataFrame) -> DataFrame:
-    """(doc_id, page_no, n) of header and footer lines among the edge lines of `lines` (doc_id, page_no, n, s, edge)."""
+def different_pages(paged: DataFrame) -> DataFrame:
+    """Lines of `paged`, those of pages with the same body once, as evidence of word pairs."""
+    body = F.transform("body", lambda x: x["s"])
+    first = paged.groupBy(F.xxhash64(body, F.lit(1)).alias("a"), F.hash(body).alias("b")).agg(F.min(F.struct("doc_id", "page_no")).alias("k"))
+    kept = first.select("k.doc_id", "k.page_no", "a", "b")
+    rows = paged.withColumn("a", F.xxhash64(body, F.lit(1))).withColumn("b", F.hash(body))
+    return rows.join(kept, ["doc_id", "page_no", "a", "b"], "left_semi").select("doc_id", "page_no", F.inline("body"))
+
+
+def running_lines(lines: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(doc_id, page_no, n) of header and footer lines among the edge lines of `lines` (doc_id, page_no, n, s, edge); `evidence` are
+    the lines whose word pairs tell what is running text."""
     bare = F.when(F.col("edge"), without_page_number(F.col("s"))).otherwise(F.col("s"))
-    met = lines.select("edge", F.explode(line_pairs(bare)).alias("pair")).groupBy("pair").agg(F.count_if("edge").alias("at_edge"), F.count_if(~F.col("edge")).alias("inside"))
+    met = evidence.select("edge", F.explode(line_pairs(bare)).alias("pair")).groupBy("pair").agg(F.count_if("edge").alias("at_edge"), F.count_if(~F.col("edge")).alias("inside"))
     running_text = met.where((F.col("at_edge") > 0) & (F.col("inside") >= INSIDE * F.col("at_edge"))).select("pair", F.lit(1).alias("in_text"))
     edges = lines.where("edge").select("doc_id", "page_no", "n", "s")
     pairs = edges.select("doc_id", "page_no", "n", F.explode(line_pairs(without_page_number(F.col("s")))).alias("pair"))
@@ -141,8 +151,9 @@ def running_lines(lines: DataFrame) -> DataFrame:
 
 
 def word_counts(lines: DataFrame, lexicon: DataFrame | None) -> DataFrame:
-    """(word, freq, listed): whole words of the lines with their frequency, and words of the lexicon, listed = 1."""
-    met = whole_words(lines).groupBy("word").agg(F.count("*").alias("freq"))
+    """(word, freq, listed): whole words of the different lines with their frequency, and words of the lexicon, listed = 1.
+    Copies of a line make its misreadings no more frequent."""
+    met = whole_words(lines.select("s", "broken", "after_broken").distinct()).groupBy("word").agg(F.count("*").alias("freq"))
     if lexicon is None:
         return met.withColumn("listed", F.lit(0))
     names = lexicon.select(F.explode(F.split(lexicon.columns[0], " ")).alias("word")).where("word <> ''").distinct()
@@ -226,7 +237,7 @@ def scan_noise(pages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     word pairs are partial aggregations; a line's neighbour over the page break is found by a join on document and page."""
     paged = cut_lineage(page_lines(pages))
     lines = paged.select("doc_id", "page_no", F.inline("body"))
-    heads = cut_lineage(running_lines(lines))
+    heads = cut_lineage(running_lines(lines, different_pages(paged)))
     words = cut_lineage(word_counts(lines, lexicon))
     none = F.lit("")
     out = heads.select("doc_id", "page_no", F.col("n").alias("line_no"), F.lit("header").alias("kind"), none.alias("word"))
@@ -245,7 +256,7 @@ def repaired_pages(pages: DataFrame, lexicon: DataFrame | None = None) -> DataFr
     their page in a join; a page's lines are the most a row ever holds."""
     paged = cut_lineage(page_lines(pages))
     lines = paged.select("doc_id", "page_no", F.inline("body"))
-    heads = cut_lineage(running_lines(lines))
+    heads = cut_lineage(running_lines(lines, different_pages(paged)))
     words = cut_lineage(word_counts(lines, lexicon))
     joined, tails = joined_words(paged, heads, words)
     fix = lambda df, kind, bad, right: df.select("doc_id", "page_no", F.struct(F.col("n"), F.lit(kind).alias("kind"), bad.alias("bad"), right.alias("right")).alias("fix"))

@@ -73,3 +73,11 @@ def test_repaired_pages(spark):
         (1, "Les parties conviennent que tout différend, relatif aux clauses, sera soumis à une\n\ncommune de Saint-Vignisart, qui accepte les biens - en 1984 et la tentative de conciliation", True),
         (2, ". Le géomètre déclare les biens", True),
     ]
+
+
+def test_copies_of_a_page_count_once(spark):
+    """A page copied to a third of the corpus is repaired like a single one, in all its copies."""
+    base = corpus(random.Random(9))
+    page = "Les parties conviennent que tout\ncommune qui accepte les bicns dans\nleur état actuel"
+    got = run(spark, base + [(d, 1, page) for d in range(1, 21)] + [(d, 1, f"{page}\nAffaire numéro {d}") for d in range(21, 41)])
+    assert got == {(d, 1, 2, "misread", "biens") for d in range(1, 41)}
