@@ -1,10 +1,13 @@
 """Template residue and error-page text, found by character n-gram models.
 
-One model each for natural prose, headings, site navigation, error and script notices, filler and template fields. Prose and
-headings are learnt from all different texts of the corpus besides seed wordings, the rest from seed wordings alone. Every position of a text gets the log
-likelihood of its n-grams under each model, averaged over a window; the best model names the position. A text is excluded if
-notices and filler cover most of what is neither heading nor navigation, or if a window of a template field holds a field that
-is really left open and not only quoted.
+Two sets of models. Letters: n-grams of natural prose, headings, site navigation, notices and filler; every position of a text gets
+the log likelihoods of a window of n-grams, the best class names it, and a text is excluded if notices and filler cover most of what
+is neither heading nor navigation. Shapes: n-grams over runs of signs of one kind (a lower-case word, a number, two braces), in which
+a template field looks alike whatever its label; windows in which unfilled fields are likelier than running text and than quoted
+fields mark residue, and a text is excluded if they cover the length of a field.
+
+The models start from general wordings. They are then fitted on the corpus, each different text once, whole: prose, headings and
+shapes of text on what is kept, and navigation, notices and filler on what is excluded, so that a corpus's own wordings are learnt.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,89 +27,153 @@ from pyspark.sql import functions as F
 from parcelforge.operators.joins import bounded
 from parcelforge.session import cut_lineage
 
-CLASSES = ("prose", "heading", "navigation", "notice", "filler", "field")
-PROSE, HEADING, NAVIGATION, NOTICE, FILLER, FIELD = range(len(CLASSES))
+CLASSES = ("prose", "heading", "navigation", "notice", "filler")
+PROSE, HEADING, NAVIGATION, NOTICE, FILLER = range(len(CLASSES))
+SHAPES = ("text", "field", "quoted")
+TEXT, FIELD, QUOTED = range(len(SHAPES))
 
 #: Characters of an n-gram, table size, and characters of a window on each side.
 NGRAM, BUCKETS, REACH = 5, 1 << 20, 9
 #: Likelihood below which an n-gram tells nothing.
 FLOOR = 3e-7
-#: Share of notices and filler from which a text is excluded.
-COVERAGE = 0.5
-
-# Seed wordings of notices, in French, English and German.
+#: Share of notices and filler from which a text is excluded, and the least characters of them.
+COVERAGE, LEAST_TOLD = 0.5, 12
+#: Runs of a shape n-gram, table size, n-grams of a window, log likelihood ratio of a window of fields, and characters of a field.
+SHAPE_GRAM, SHAPE_BUCKETS, SHAPE_WINDOW, FIELD_RATIO, FIELD_CHARS = 4, 1 << 18, 6, 6.0, 2
+#: Likelihood below which a shape n-gram tells nothing.
+SHAPE_FLOOR = 1e-6
+#: Signs told apart, besides letters, digits and spaces, and those by which a field can open or close.
+SIGNS = ".,;:!?'\"()[]{}<>_|#$%&*+-/=@©…"
+_FIELD_SIGN = np.zeros(64, bool)
+_FIELD_SIGN[[30 + SIGNS.index(c) for c in "\"[]{}<>_#$%…"]] = True
+#: Characters round a sign in which shapes are looked at.
+SIGN_REACH = 80
+#: Positions from one window of letters to the next; windows reach over several steps, so that no character is left out.
+STEP = 4
+#: Fits on the corpus.
+FITS = 2
+
+# General wordings of error pages and of notices about scripts, cookies and browsers.
 NOTICE_SEEDS = """
-Erreur 404 : la page demandée est introuvable. Page non trouvée. La page que vous cherchez n'existe pas ou n'existe plus.
-Accès refusé (403). Vous n'avez pas l'autorisation de consulter cette ressource. Accès interdit. Authentification requise.
-Une erreur inattendue s'est produite (code 500). Référence de l'incident : 0b33ea53. Une erreur interne du serveur est survenue.
-Votre session a expiré. Reconnectez-vous pour afficher la décision. Veuillez vous identifier pour accéder à ce contenu.
-Le service est momentanément indisponible, merci de réessayer plus tard. Site en maintenance. Service temporairement indisponible.
-Trop de requêtes ont été envoyées depuis votre adresse. Patientez 30 secondes. Votre adresse IP a été bloquée.
-Délai d'attente dépassé lors de la connexion à la base. Impossible de se connecter au serveur. Connexion interrompue.
-Ce document n'existe plus ou a été déplacé. Le document demandé est indisponible. Document introuvable. Fichier non trouvé.
-Pour afficher cette page, activez JavaScript dans votre navigateur. Cette application a besoin de JavaScript pour fonctionner.
-Votre navigateur bloque les scripts : le contenu ne peut pas être affiché. JavaScript est désactivé dans votre navigateur.
-Ce site nécessite l'exécution de scripts et l'acceptation des cookies. Veuillez accepter les cookies pour continuer.
-Vérification de votre navigateur en cours, veuillez patienter 5 secondes... Contrôle de sécurité. Vérifiez que vous êtes humain.
-Votre navigateur n'est pas pris en charge. Veuillez mettre à jour votre navigateur ou utiliser un autre navigateur.
-Error 404: the page you requested could not be found. Page not found. The requested URL was not found on this server.
-403 Forbidden. You do not have permission to view this resource. Access denied. Unauthorized. Please log in to continue.
-An unexpected error occurred (code 500). Incident reference: 0b33ea53. Internal server error. Something went wrong.
-Your session has expired. Sign in again to view the decision. Please sign in to view this document.
-The service is temporarily unavailable. Please try again later. This site is under maintenance. Bad gateway. Gateway timeout.
-Too many requests. Wait 30 seconds. Upstream timed out while reading response header. Connection refused. Database error.
-This document no longer exists or has been moved. The document is not available. File not found.
-Please turn on JavaScript to view this page. You need to enable JavaScript to run this app. This application needs JavaScript to work.
-Your browser is blocking scripts; nothing can be shown. This site needs scripts and cookies to work. Please enable cookies.
-Checking your browser, please wait 5 seconds... Ray 9195da Verify you are human. Your browser is not supported. Please update your browser.
-Fehler 404: Die angeforderte Seite wurde nicht gefunden. Seite nicht gefunden. Das Dokument existiert nicht mehr oder wurde verschoben.
-Zugriff verweigert (403). Sie haben keine Berechtigung, diese Seite anzuzeigen. Anmeldung erforderlich. Bitte melden Sie sich an.
-Ein unerwarteter Fehler ist aufgetreten (Code 500). Interner Serverfehler. Ihre Sitzung ist abgelaufen. Bitte erneut anmelden.
-Der Dienst ist vorübergehend nicht verfügbar. Bitte versuchen Sie es später erneut.
-Zu viele Anfragen. Bitte warten Sie 30 Sekunden. Zeitüberschreitung bei der Verbindung zur Datenbank. Wartungsarbeiten.
-Bitte schalten Sie JavaScript ein, um diese Seite anzuzeigen. Diese Anwendung benötigt JavaScript. Ihr Browser blockiert Skripte.
-Diese Seite benötigt Skripte und Cookies. Bitte akzeptieren Sie Cookies. Bitte aktivieren Sie JavaScript in Ihrem Browser.
-Ihr Browser wird geprüft, bitte 5 Sekunden warten... Sicherheitsprüfung. Ihr Browser wird nicht unterstützt.
+Oups ! Cette page n'est plus là. Nous n'avons pas trouvé la page que vous recherchez. Page inexistante. Page introuvable.
+L'URL demandée n'a pas été trouvée sur ce serveur. Si vous avez saisi l'adresse à la main, vérifiez l'orthographe et réessayez.
+Vous n'avez pas le droit d'accéder à l'objet demandé. Accès non autorisé. Accès interdit : vous devez être connecté pour voir ce contenu.
+Le serveur a rencontré une erreur interne et n'a pas pu traiter votre requête. Erreur interne du serveur. Une erreur est survenue.
+Numéro d'incident à rappeler au support technique. Code d'erreur. Quelque chose s'est mal passé. Erreur inconnue, requête invalide.
+Session expirée. Identifiez-vous à nouveau pour continuer. Votre connexion a été fermée après une longue période d'inactivité.
+Service indisponible pour cause de maintenance. Veuillez réessayer dans quelques minutes. Le site est en cours de maintenance.
+Limite de requêtes atteinte. Vous avez effectué un trop grand nombre de requêtes, attendez quelques secondes. Adresse IP bloquée.
+Le délai d'attente est dépassé. La connexion au serveur a échoué. Connexion à la base de données impossible. Passerelle incorrecte.
+La ressource a été supprimée ou déplacée. Le fichier n'est plus disponible. Le document n'existe pas. Lien rompu ou périmé.
+JavaScript doit être activé pour utiliser ce site. Merci d'activer JavaScript. JavaScript est désactivé ou bloqué par votre navigateur.
+Les scripts sont désactivés : cette application ne peut pas s'afficher ni fonctionner. Autorisez l'exécution des scripts.
+Les cookies doivent être activés. Acceptez les cookies pour poursuivre votre visite. Nous utilisons des cookies.
+Nous vérifions votre navigateur, cela prend quelques secondes. Vérification de sécurité en cours. Vérifiez que vous n'êtes pas un robot.
+Navigateur obsolète ou non pris en charge. Mettez à jour votre navigateur ou installez un navigateur récent.
+Oops! We can't find the page you are looking for. This page does not exist. Not Found. The server can not find the requested page.
+Forbidden. Access to this resource on the server is denied. You are not authorized to access this page. Permission denied. Login required.
+The server encountered an internal error or misconfiguration and was unable to complete your request. We're sorry, but something went wrong.
+Error code, incident id, request id. Please contact the administrator. Unexpected error. Bad request. Unknown error.
+Session timed out. Log in again to continue. You must be logged in to see this content. You have been signed out.
+Service unavailable. The site is down for maintenance, please try again in a few minutes. The server is temporarily unable to handle requests.
+Rate limit exceeded. You sent too many requests in a short time, slow down and retry after some seconds. You have been blocked.
+The connection has timed out. The upstream server took too long to respond. Bad gateway. Gateway timeout. Error establishing a database connection.
+This file has been removed or is no longer available. The link is broken or expired. Content moved.
+JavaScript is disabled in your browser. JavaScript is required to use this site. Please enable JavaScript to continue. Turn JavaScript on.
+Scripts are blocked, so this application can not be displayed. Allow scripts to run.
+Enable cookies and reload the page. Cookies must be enabled. We use cookies, accept them to go on.
+Just a moment, we are checking that your browser is secure. Verify that you are not a robot. Performing a security check.
+Your browser is out of date or not supported. Upgrade to a modern browser.
+Die Seite existiert nicht. Diese Seite konnte leider nicht gefunden werden. Nicht gefunden. Der angeforderte URL fehlt auf dem Server.
+Zugriff nicht erlaubt. Sie sind nicht berechtigt, auf diesen Inhalt zuzugreifen. Bitte loggen Sie sich ein. Zugang verweigert.
+Interner Fehler des Servers. Der Server konnte Ihre Anfrage nicht bearbeiten. Es ist ein Fehler aufgetreten. Fehlercode, Vorfallnummer.
+Sitzung abgelaufen, melden Sie sich neu an. Sie wurden abgemeldet. Bitte Anmeldung wiederholen.
+Wegen Wartung geschlossen. Der Dienst steht zurzeit nicht zur Verfügung. Versuchen Sie es in wenigen Minuten noch einmal.
+Zu viele Zugriffe in kurzer Zeit, bitte einige Sekunden warten. Zeitüberschreitung der Verbindung. Keine Verbindung zum Server.
+Die Datei wurde gelöscht oder verschoben. Der Link ist veraltet. Das Dokument ist nicht mehr verfügbar.
+Dieser Inhalt wird nur mit aktiviertem JavaScript angezeigt. JavaScript ist in Ihrem Browser deaktiviert. Skripte werden blockiert. Aktivieren Sie Skripte.
+Cookies sind ausgeschaltet. Bitte erlauben Sie Cookies, um fortzufahren. Wir verwenden Cookies.
+Einen Moment bitte, Ihr Browser wird überprüft. Bestätigen Sie, dass Sie kein Roboter sind. Sicherheitsüberprüfung läuft.
+Veralteter Browser. Ihr Browser wird nicht mehr unterstützt, bitte aktualisieren.
 """
 
-# Seed wordings of filler.
+# Words of the common filler passage in no order, and words and wordings of filler of general use.
+LOREM_WORDS = (
+    "ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor dolore duis ea"
+    " eiusmod elit enim esse est et eu ex excepteur exercitation fugiat id in incididunt ipsum irure labore laboris laborum lorem magna"
+    " minim mollit nisi non nostrud nulla occaecat officia pariatur proident qui quis reprehenderit sed sint sit sunt tempor ullamco ut"
+    " velit veniam voluptate"
+)
+FILLER_WORDS = (
+    "asdf azerty blabla dummy factice faux filler lipsum placeholder qwerty qwertz remplissage sample tbd test todo xxx"
+    " Blindtext Beispieltext Mustertext Platzhalter"
+)
 FILLER_SEEDS = """
-Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim
-ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in
-reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt
-in culpa qui officia deserunt mollit anim id est laborum. Vulputate dictum tincidunt mauris vestibulum pellentesque.
-Contenu à venir. Texte à venir. Insérez ici le corps de la décision. Ceci est un texte d'exemple destiné à être remplacé.
-Texte de remplissage, faux texte, contenu provisoire, contenu factice, paragraphe exemple, titre bidon ici. Votre texte ici.
-test test test 123 asdf asdf asdf azerty qwerty xxx xxx bla bla bla blabla tbd tbd todo à compléter ultérieurement
-Coming soon. Content coming soon. Insert the body of the judgment here. This is sample text to be replaced. Your text here.
-Filler text, dummy text, placeholder copy, sample heading goes here, body copy goes here. Text to follow.
-Inhalt folgt. Hier den Text der Entscheidung einfügen. Dies ist ein Blindtext, der ersetzt wird. Platzhalter, Mustertext, Blindtext.
-Überschrift Muster hier Absatz Platzhalter Beispieltext folgt in Kürze.
+Faux-texte de démonstration. Texte provisoire. Ce paragraphe est un exemple, remplacez-le par votre texte. Votre texte ici.
+Contenu bientôt disponible. Page en construction. Le contenu sera ajouté plus tard. À venir. Insérer le texte ici. Texte à remplacer.
+Dummy text for demonstration. This paragraph is only an example, replace it with your own text. Your text goes here.
+Content will be added later. Page under construction. Coming soon. Insert text here. To be replaced. Sample text.
+Nur ein Blindtext. Dieser Absatz dient als Beispiel und wird noch ersetzt. Hier steht später Ihr Text.
+Inhalt in Vorbereitung. Seite im Aufbau. Der Inhalt folgt in Kürze. Text hier einfügen. Bitte Text ersetzen.
 """
 
-# Seed wordings of site navigation.
+# General items of site navigation.
 NAVIGATION_SEEDS = """
-Aller au contenu principal
-Plan du site - Mentions légales
-Connexion / Inscription
-Retour à la liste des décisions
-Accueil | Recherche | Contact
-Skip to main content
-Home | Search | Contact
-Sign in / Register
-Site map - Legal notice
-Back to results
-Zum Inhalt springen
-Startseite | Suche | Kontakt
+Passer au contenu
+Menu principal
+Accueil
+Rechercher
+Nous contacter
+Contact
+Se connecter
+Créer un compte
+Connexion
+Inscription
+Mon compte
+Plan du site
+Mentions légales
+Confidentialité
+Retour en haut de page
+Retour aux résultats
+Liste des résultats
+Partager
+Imprimer
+Fil d'Ariane
+Jump to navigation
+Main content
+Home
+Search
+About us
+Contact us
+Log in
+Sign up
+Register
+Sitemap
+Site map
+Legal notice
+Privacy policy
+Terms of use
+Back to top
+Search results
+Print this page
+Zum Hauptinhalt
+Startseite
+Suche
+Kontakt
 Impressum
-Anmelden / Registrieren
-Zurück zur Ergebnisliste
-Datenschutz - Impressum
-© 2016 portail juris
-Menu Fil d'Ariane Partager Imprimer
+Datenschutzerklärung
+Nutzungsbedingungen
+Anmelden
+Registrieren
+Zurück zur Übersicht
+Seite drucken
+Nach oben
+© Tous droits réservés
+© All rights reserved
+© Alle Rechte vorbehalten
 """
 
-# Wordings of a decision's head besides those the corpus shows.
+# General wordings of a decision's head besides those the corpus shows.
 HEADING_SEEDS = """
 ENTRE : , demeurant à
 ET :
@@ -113,10 +181,12 @@ contre
 c/
 v
 gegen
-RÉPUBLIQUE FRANÇAISE - AU NOM DU PEUPLE
+RÉPUBLIQUE FRANÇAISE
 Décision du
 ARRÊT DU
 JUGEMENT DU
+Urteil vom
+Judgment of
 """
 
 # Seed wordings of prose, for corpora that show little of it.
@@ -138,8 +208,8 @@ that the agreement had been made between the parties and that the terms were cle
 had erred in law in holding that there was no duty of care. We do not accept that submission. The evidence of the witness was that the tenant had paid
 the rent until the end of the year, and that the landlord had given notice to quit. In our judgment the tribunal was entitled to reach that conclusion
 on the facts before it. The question is whether the statute applies to the circumstances of the present case. Having considered the authorities, I am
-satisfied that the decision was reasonable and that the application must fail. The respondent argued that the claim was out of time and that there was
-no reason to extend the limitation period. For these reasons the appeal is dismissed and the order of the lower court is affirmed with costs.
+satisfied that the decision was reasonable, so that nothing is left of the application. The respondent argued that the claim was out of time and that there was
+no reason to extend the limitation period. It follows that the appeal must be dismissed; the order of the lower court stands, with costs.
 Die Klägerin nimmt den Beklagten auf Zahlung von Schadensersatz wegen Verletzung des Vertrages in Anspruch. Das Landgericht hat die Klage abgewiesen,
 das Berufungsgericht hat die dagegen gerichtete Berufung zurückgewiesen. Mit der Revision verfolgt die Klägerin ihr Begehren weiter. Die Revision ist
 unbegründet. Nach den Feststellungen des Gerichts haben die Parteien einen Mietvertrag über das Grundstück geschlossen, der durch die Kündigung des
@@ -148,44 +218,50 @@ nicht versäumt hat. Die Entscheidung über die Kosten beruht auf den Vorschrift
 Entgegen der Ansicht der Beschwerde kommt es nicht darauf an, ob die Behörde bei ihrer Entscheidung von einem unrichtigen Sachverhalt ausgegangen ist.
 """
 
-# Wordings of short orders, which are prose however short the decision is.
+# General wordings of short orders, which are prose however short the decision is.
 ORDER_SEEDS = """
-Rejette la requête de M. Dépens réservés. Constate le désistement de la société et l'extinction de l'instance.
-Renvoie l'affaire à l'audience du 19 mai. Déclare l'appel irrecevable. Ordonne la jonction des instances. Radie l'affaire du rôle.
-Application of Mr refused. Hearing moved to 13 July. No order as to costs. Claim withdrawn. Appeal dismissed. Leave to appeal granted.
-Der Antrag wird abgelehnt. Der Termin wird auf den 9. Mai verlegt. Die Klage wird abgewiesen. Die Kosten trägt die Klägerin.
+La requête est rejetée. Il est donné acte du désistement. L'instance est éteinte. L'affaire est renvoyée à une audience ultérieure. Les dépens sont réservés.
+Déclare l'appel irrecevable. Ordonne la jonction des instances. Radie l'affaire du rôle. Rejette le pourvoi. Désigne un expert. Sursoit à statuer.
+Rejette les requêtes du syndicat. La requête de la commune est rejetée. Donne acte à la société de son désistement. Fixe l'audience au mois de mai.
+The application is refused. The hearing is adjourned. No order is made as to costs. The claim has been withdrawn. The appeal is dismissed. Leave to appeal is granted.
+Der Antrag wird zurückgewiesen. Die Verhandlung wird vertagt. Die Klage wird abgewiesen. Die Kosten trägt der Kläger. Das Verfahren wird eingestellt.
 """
 
-# Signs that open and close a field in common template languages, and words that ask to fill one.
-FIELD_SIGNS = (("{{", "}}"), ("{%", "%}"), ("${", "}"), ("%(", ")s"), ("[[", "]]"), ("<<", ">>"), ("#", "#"), ("........ (", ")"), ("________ (", ")"))
-FIELD_ORDERS = ("<insérer {}>", "<enter {}>", "<insert {}>", "[insérer {}]", "[INSERT {}]", "[{} À COMPLÉTER]", "[{} EINSETZEN]", "<{} eingeben>", "[{} TO BE COMPLETED]", "«{} ici»", "«{} here»", "„{} hier“", "«{} hier»")
-FIELD_LABELS = (
-    "nom_partie date_audience numero_rg juridiction montant adresse avocat motifs dispositif party_name hearing_date case_number amount address"
-    " reasons order partei_name termin aktenzeichen betrag anschrift gründe"
-).split() + ["nom du demandeur", "name of claimant", "name des klägers", "date", "nom", "name"]
-
-_LABEL = r"[^\W\d_][\w '’./-]{0,60}?"
-_ORDER = r"(?:à\s+compléter|à\s+renseigner|à\s+remplir|insérer|compléter|renseigner|insert|enter|fill\s+in|to\s+be\s+(?:completed|filled)|einsetzen|eingeben|einfügen|ausfüllen|ici|here|hier|tbd|todo)"
-OPEN_FIELD = re.compile(
-    rf"""(?ix)
-    (?P<before>[«"“”„‟‘’'‚‹]\s?)?
-    (?: \{{\{{\s*{_LABEL}\s*\}}\}} | \{{%\s*{_LABEL}\s*%\}} | \$\{{\s*{_LABEL}\s*\}} | %\(\s*{_LABEL}\s*\)s?
-      | \[\[\s*{_LABEL}\s*\]\] | <<\s*{_LABEL}\s*>> | \#{_LABEL}\#
-      | (?:\.{{4,}}|_{{4,}}|…{{2,}})\s*\(\s*{_LABEL}\s*\)
-      | \[\s*(?:{_ORDER}\s[^\[\]\n]{{1,60}}|[^\[\]\n]{{1,60}}?\s{_ORDER})\s*\] | <\s*(?:{_ORDER}\s[^<>\n]{{1,60}}|[^<>\n]{{1,60}}?\s{_ORDER})\s*>
-      | [«„“]\s?(?P<inner>(?:{_ORDER}\s[^«»„“”\n]{{1,60}}|[^«»„“”\n]{{1,60}}?\s(?:ici|here|hier)))\s?[»“”]
-    )"""
-)
+# General ways of redaction.
+REDACTION_SEEDS = """
+M. [X], demeurant [Adresse 2] à [Localité 1], né le [Date naissance 3]. Mme [A] [B] contre M. [Z]. A.________ et B.________ ont saisi. M. X... et Mme Y... ;
+la société [...] a cédé [...], et M. A... soutient que (...) la cour [sic] retient. Le mot (illisible) figure (sic) au plan, voir (1), (n° 12) et (p. 3). [1] Le demandeur. [12] The firm [X] and Ms [Y] in [Locality 4], see [2001] 2 AC 3.
+"""
 
-#: What an open field or the quotation mark before it can begin with.
-_FIELD_START = re.compile(r"""[«"“”„‟‘’'‚‹{$%\[<#._…]""")
+# Words by which a template asks to be filled, and where a field stands.
+ORDER_WORDS = (
+    "insérer inserer compléter completer renseigner remplir saisir indiquer préciser ici insert enter fill completed filled here"
+    " einsetzen eingeben einfügen ausfüllen ergänzen hier"
+).split()
+
+# Signs of template languages and of printed forms; {} is a label. `order` stands for any word of ORDER_WORDS.
+FIELD_FORMS = (
+    "{{{}}}", "{{ {} }}", "{% {} %}", "${{}}", "%({})s", "%{}%", "[[{}]]", "<<{}>>", "#{}#", "{{{{}}}}",
+    "....... ({})", ".......({})", "______ ({})", "______({})", "…… ({})",
+    "<order {}>", "<{} order>", "[order {}]", "[{} order]", "[{} À order]", "[{} à order]", "[{} to be order]", "[{} TO BE order]", "[à order : {}]",
+)
+QUOTE_FORMS = ("«{} order»", "«order {}»", "„{} order“", "„order {}“", "“{} order”", "“order {}”")
+FIELD_LABELS = ("nom", "nom_nom", "nom nom", "nom nom nom", "nom d'nom", "nom_nom_nom", "NOM", "NOM_NOM", "NOM NOM", "NOM NOM NOM", "NOM D'NOM", "Nom", "Nom nom", "Nom Nom", "nom2", "NOM_2")
+BEFORE = ("\n", "nom ", "nom, ", "nom : ", "° ", "nom. ", "nom (", "d'", "12 ", "] ", "M. ")
+AFTER = ("\n", " nom", ", nom", ", 12", ".\n", ". Nom", " Nom", ")", " (", " 12", " :", ";")
+QUOTES = ("« {} »", "«{}»", '"{}"', "“{}”", "„{}“", "‘{}’", "'{}'", "‹ {} ›")
+QUOTED_WORDS = ("nom nom nom nom nom nom", "Nom nom nom nom nom", "Nom 12", "Nom 12 - nom nom", "Nom 12 – Nom nom nom", "Nom nom Nom nom.", "nom, nom nom", "nom-nom")
+QUOTED_BEFORE, QUOTED_AFTER = ("nom ", "nom : ", "(", "\n", ", "), (" nom", ", nom", ".\n", ". Nom", ")", "\n", " ;")
+
+_ORDER = re.compile(rf"(?i)(?<![^\W_])(?:{'|'.join(ORDER_WORDS)})(?![^\W_])")
+#: Bracketed or quoted spans, in which alone words of ORDER_WORDS are looked for.
+_SPAN = re.compile(r"""[\[<«„“"'‘‹(][^\[\]<>«»„“”"‘‹›()\n]{2,80}[\]>»“”"'’›)]""")
 
 
 @lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
     """Symbol below 64 of every code point: letters without accents and case, digits as one, signs by kind."""
     table = np.full(0x110000, 63, np.uint8)
-    signs = ".,;:!?'\"()[]{}<>_|#$%&*+-/=@©"
     for c in range(0x3000):
         ch = chr(c)
         bare = unicodedata.normalize("NFKD", ch)[:1].lower()
@@ -199,23 +275,89 @@ def symbol_table() -> np.ndarray:
         elif kind[0] == "Z" or ch == "\t":
             table[c] = 28
         elif kind == "Pd":
-            table[c] = 30 + signs.index("-")
+            table[c] = 30 + SIGNS.index("-")
         elif kind in ("Pi", "Pf") or ch == "„":
-            table[c] = 30 + signs.index("'" if ch in "‘’" else '"')
-        elif ch in signs:
-            table[c] = 30 + signs.index(ch)
+            table[c] = 30 + SIGNS.index("'" if ch in "‘’" else '"')
+        elif ch in SIGNS:
+            table[c] = 30 + SIGNS.index(ch)
     return table
 
 
-def buckets(text: str) -> np.ndarray:
-    """Bucket of the n-gram that starts at each position (n-grams over the end are padded)."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.concatenate([symbol_table()[codes], np.full(NGRAM - 1, 28, np.uint8)]).astype(np.uint32)
+def symbols(text: str) -> np.ndarray:
+    return symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def buckets(text: str, of: np.ndarray | None = None) -> np.ndarray:
+    """Bucket of the n-gram that starts at each position (n-grams over the end are padded); `of`: its symbols, if known."""
+    s = np.concatenate([symbols(text) if of is None else of, np.full(NGRAM - 1, 28, np.uint8)]).astype(np.uint32)
     two = (s[:-1] << np.uint32(6)) ^ s[1:]
     key = (((two[:-3] << np.uint32(12)) ^ two[2:-1]) << np.uint32(6)) ^ s[4:]
     return ((key * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
 
 
+@lru_cache(maxsize=1)
+def kind_table() -> np.ndarray:
+    """Kind below 64 of every code point: lower-case letter, capital, digit, space, line end, each common sign, other."""
+    table = np.full(0x110000, 63, np.uint8)
+    table[0] = 0
+    signs = ".,;:!?'\"()[]{}<>_|#$%&*+-/=@«»„“”‘’‹›…°§"
+    for c in range(1, 0x3000):
+        ch = chr(c)
+        kind = unicodedata.category(ch)
+        if ch in signs:
+            table[c] = 10 + signs.index(ch)
+        elif kind[0] in "LM":
+            table[c] = 2 if kind in ("Lu", "Lt") else 1
+        elif kind[0] == "N":
+            table[c] = 3
+        elif ch in "\n\r\v\f":
+            table[c] = 5
+        elif kind[0] == "Z" or ch == "\t":
+            table[c] = 4
+        elif kind == "Pd":
+            table[c] = 10 + signs.index("-")
+    table[0x3000:0x20000] = 1
+    return table
+
+
+def near_signs(text: str, of: np.ndarray | None = None) -> str:
+    """The parts of a text that lie within SIGN_REACH of a sign by which a field can open or close, joined by a character of no kind.
+    Elsewhere no n-gram of a field can be. `of`: the text's symbols, if known."""
+    s = symbols(text) if of is None else of
+    sign = _FIELD_SIGN[s]
+    dot = s == 30 + SIGNS.index(".")
+    if len(s) > 3:
+        sign[3:] |= dot[:-3] & dot[1:-2] & dot[2:-1] & dot[3:]
+    at = np.flatnonzero(sign)
+    if not len(at):
+        return ""
+    new = np.flatnonzero(np.diff(at) > 2 * SIGN_REACH) + 1
+    low, high = np.maximum(at[np.concatenate([[0], new])] - SIGN_REACH, 0), at[np.concatenate([new - 1, [len(at) - 1]])] + SIGN_REACH
+    return "\0".join([text[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)])
+
+
+def shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the shape n-gram that starts at each run of a text near signs, and the start of each run. A run is characters of one
+    kind; signs tell one, two and more of a kind apart, capitals one and more."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = kind_table()[codes]
+    for span in _SPAN.finditer(text):
+        for word in _ORDER.finditer(text, span.start() + 1, span.end() - 1):
+            if word.start() == span.start() + 1 or word.end() == span.end() - 1:
+                kinds[word.start() : word.end()] = 6
+    starts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+    length = np.diff(starts, append=len(kinds))
+    of = kinds[starts].astype(np.uint64)
+    many = np.where(of >= 10, np.minimum(length, 3), np.where(of == 2, np.minimum(length, 2), 1)).astype(np.uint64)
+    edge = np.array([0] * (SHAPE_GRAM - 2) + [5 << 2 | 1], np.uint64)  # a text stands between line ends
+    runs = np.concatenate([edge, of << np.uint64(2) | many, edge[::-1]])
+    key = np.zeros(len(runs) - SHAPE_GRAM + 1, np.uint64)
+    for i in range(SHAPE_GRAM):
+        key = (key << np.uint64(8)) | runs[i : i + len(key)]
+    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
+    return bucket, starts
+
+
 def head_of(text: str) -> int:
     """End of the lines that stand before a decision's first paragraph."""
     at = 0
@@ -227,67 +369,167 @@ def head_of(text: str) -> int:
 
 
 class Models:
-    """Log likelihoods of each bucket under each class, in quarters of a natural logarithm. The classes of a bucket lie side by side
-    in one number, ten bits each, so that one running sum adds up all of them; a window's sums fit, and wrapping does no harm to
-    their differences."""
+    """Log likelihoods of each bucket under each class.
 
-    def __init__(self, counts: np.ndarray):
-        """`counts`: one row a class and one column a bucket."""
+    Letters are in quarters of a natural logarithm; the classes of a bucket lie side by side in one number, ten bits each, so that one
+    running sum adds up all of them; a window's sums fit, and wrapping does no harm to their differences. Shapes are the log ratio of
+    an unfilled field to the likelier of running text and a quoted field."""
+
+    def __init__(self, counts: np.ndarray, shape_counts: np.ndarray, texts: float):
+        """One row a class and one column a bucket, of letters and of shapes; the number of texts learnt from."""
         logs = np.log(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) + FLOOR) - np.log(FLOOR)
         self.packed = np.zeros(BUCKETS, np.uint64)
         for k, row in enumerate(np.round(logs * 4).clip(0, 63).astype(np.uint64)):
             self.packed |= row << np.uint64(10 * k)
+        told = np.log(shape_counts / np.maximum(shape_counts.sum(axis=1, keepdims=True), 1) + SHAPE_FLOOR)
+        self.ratio = (told[FIELD] - np.maximum(told[TEXT], told[QUOTED])).astype(np.float32)
+        self.texts = texts
 
-    def classes(self, text: str, found: np.ndarray | None = None) -> np.ndarray:
-        """The class of each position of a text (`found`: its buckets, if known); of equals the first."""
+    def classes(self, text: str, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The class of every STEP-th position of a text (`found`: its buckets, if known), of equals the first, and whether anything
+        tells it."""
         found = buckets(text) if found is None else found
         n, behind = len(found), REACH - NGRAM + 2
         # the running sum with its first value repeated before it and its last one behind it, so that windows end at the text's ends
         total = np.zeros(REACH + n + 1 + behind, np.uint64)
         np.cumsum(self.packed[found], out=total[REACH + 1 : REACH + 1 + n])
         total[REACH + 1 + n :] = total[REACH + n]
-        sums = (total[REACH + behind : REACH + behind + n] - total[:n]).view(np.int64)
+        sums = (total[REACH + behind : REACH + behind + n : STEP] - total[:n:STEP]).view(np.int64)
         last = len(CLASSES) - 1
-        best = np.full(n, -1, np.int16)
+        best = np.full(len(sums), -1, np.int16)
         for k in range(last + 1):
             of_class = (sums >> 10 * k).astype(np.int16)
             of_class &= 1023
             of_class <<= 3
             of_class |= last - k
             np.maximum(best, of_class, out=best)
-        return last - (best & 7)
+        return last - (best & 7), best >= 8
+
+    def field_chars(self, near: str, shaped: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+        """Characters in windows of unfilled fields, of a text's parts near signs (`shaped`: their shapes, if known)."""
+        if not near:
+            return 0
+        bucket, starts = shapes(near) if shaped is None else shaped
+        ratio = self.ratio[bucket]
+        if not (ratio > 1).any():
+            return 0
+        total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
+        low = np.arange(len(ratio))
+        high = np.minimum(low + SHAPE_WINDOW, len(ratio))
+        hits = np.flatnonzero(total[high] - total[low] >= FIELD_RATIO)
+        # the runs all of whose n-grams lie in the window: n-gram i covers the runs from i - SHAPE_GRAM + 1 on, by their numbers
+        covered = np.zeros(len(starts) + 1, bool)
+        for i in hits:
+            covered[i : min(i + SHAPE_WINDOW - SHAPE_GRAM + 1, len(starts))] = True
+        return int(np.diff(starts, append=len(near))[covered[:-1]].sum())
+
+
+def _seed_wordings() -> Iterator[tuple[int, str, float]]:
+    yield PROSE, PROSE_SEEDS, 1.0
+    for k, seeds in ((NOTICE, NOTICE_SEEDS), (NAVIGATION, NAVIGATION_SEEDS), (FILLER, FILLER_SEEDS)):
+        for s in seeds.strip().splitlines():
+            yield k, s + "\n", 1.0
+    for listed in (LOREM_WORDS.split(), FILLER_WORDS.split()):
+        for i in range(6):  # words of filler in changing orders
+            yield FILLER, " ".join(listed[j * (3 + 2 * i) % len(listed)] for j in range(len(listed))) + ".\n", 0.5
 
 
 @lru_cache(maxsize=1)
 def _seed_counts() -> np.ndarray:
-    """N-grams of the classes that only seeds tell of, and of the prose seeds."""
+    """N-grams of letters of the seed wordings."""
     counts = np.zeros((len(CLASSES), BUCKETS))
-
-    def add(k: int, text: str, weight: float = 1.0) -> None:
+    for k, text, weight in _seed_wordings():
         np.add.at(counts[k], buckets(text), weight)
+    return counts
 
-    add(PROSE, PROSE_SEEDS)
-    for k, seeds in ((NOTICE, NOTICE_SEEDS), (NAVIGATION, NAVIGATION_SEEDS)):
-        for s in seeds.strip().splitlines():
-            add(k, s + "\n")
-    filler = FILLER_SEEDS.split()
-    add(FILLER, FILLER_SEEDS)
-    for i in range(7):  # the words of filler in other orders
-        add(FILLER, " ".join(filler[j * (3 + 2 * i) % len(filler)] for j in range(len(filler))), 0.3)
-    labels = [v for x in FIELD_LABELS for v in (x, x.replace("_", " "), x.upper())]
-    add(FIELD, " ".join(f"{a}{x}{b}" for a, b in FIELD_SIGNS for x in labels) + " ".join(o.format(x) for o in FIELD_ORDERS for x in labels))
+
+@lru_cache(maxsize=1)
+def _seed_shapes() -> np.ndarray:
+    """N-grams of shapes of fields, quoted fields, and the text seeds."""
+    counts = np.zeros((len(SHAPES), SHAPE_BUCKETS))
+    fill = lambda form, label: form.replace("{}", label, 1).replace("order", "insert")
+    open_fields = [fill(f, x) for f, x in product(FIELD_FORMS, FIELD_LABELS)]
+    all_open = open_fields + [fill(f, x) for f, x in product(QUOTE_FORMS, FIELD_LABELS)]
+
+
+    def add(k: int, examples: list[tuple[str, str, str]]) -> None:
+        """N-grams that reach into the middle parts of the examples (before, middle, after)."""
+        bucket, starts = shapes("\n".join(map("".join, examples)))
+        ends = np.cumsum([len(b) + len(m) + len(a) + 1 for b, m, a in examples])
+        which = np.searchsorted(ends, starts, side="right")
+        low = ends - 1 - [len(m) + len(a) for _, m, a in examples]
+        high = ends - 1 - [len(a) for *_, a in examples]
+        inside = (starts >= low[which]) & (starts < high[which])
+        # n-gram i covers the runs from i - SHAPE_GRAM + 1 to i
+        reached = np.convolve(inside, np.ones(SHAPE_GRAM, int)) > 0
+        np.add.at(counts[k], bucket[reached], 1.0)
+
+    for f in all_open:
+        add(FIELD, [(b, f, a) for b, a in product(BEFORE, AFTER)])
+    for f in open_fields + [f"[{x}]" for x in FIELD_LABELS] + [*FIELD_LABELS, *QUOTED_WORDS]:
+        add(QUOTED, [(b, q.replace("{}", f), a) for q, b, a in product(QUOTES, QUOTED_BEFORE, QUOTED_AFTER)])
+    for s in (PROSE_SEEDS, ORDER_SEEDS, REDACTION_SEEDS, NOTICE_SEEDS, NAVIGATION_SEEDS, HEADING_SEEDS):
+        np.add.at(counts[TEXT], shapes(s)[0], 1.0)
     return counts
 
 
-def models_of(shown: np.ndarray | None = None, texts: float = 0.0) -> Models:
-    """Models of what `texts` decisions have shown, two rows of counts (none: the seeds alone), and of the seeds."""
-    counts = _seed_counts().copy()
+class Shown:
+    """What texts have shown: letters by class, shapes of text, and the weight of the texts kept."""
+
+    def __init__(self, letters: np.ndarray | None = None, shapes: np.ndarray | None = None, texts: float = 0.0):
+        self.letters = np.zeros((len(CLASSES), BUCKETS)) if letters is None else letters
+        self.shapes = np.zeros(SHAPE_BUCKETS) if shapes is None else shapes
+        self.texts = texts
+        self._open: dict[int, list[tuple[np.ndarray, float]]] = {}
+        self._size = 0
+
+    def _count(self, k: int, found: np.ndarray, weight: float) -> None:
+        self._open.setdefault(k, []).append((found, weight))
+        self._size += len(found)
+        if self._size > 4 * BUCKETS:
+            self.close()
+
+    def close(self) -> Shown:
+        """Add up what is still open."""
+        for k, parts in self._open.items():
+            at, weights = np.concatenate([f for f, _ in parts]), np.repeat([w for _, w in parts], [len(f) for f, _ in parts])
+            row = self.letters[k] if k >= 0 else self.shapes
+            row += np.bincount(at, weights, len(row))
+        self._open, self._size = {}, 0
+        return self
+
+    def add(self, text: str, weight: float, models: Models) -> None:
+        of = symbols(text)
+        found, near = buckets(text, of), near_signs(text, of)
+        shaped = shapes(near) if near else None
+        k, told = models.classes(text, found)
+        v = verdict(k, told, models.field_chars(near, shaped))
+        if is_told(v):  # the parts that are told; unknown wordings of the same text follow in the next fit
+            at, told = np.repeat(k, STEP)[: len(found)], np.repeat(told, STEP)[: len(found)]
+            for c in (NAVIGATION, NOTICE, FILLER):
+                self._count(c, found[told & (at == c)], weight)
+            return
+        if models.texts and has_field(v):  # the seeds alone don't show enough text to tell fields from it
+            return
+        head = head_of(text)
+        self._count(HEADING, buckets(text[:head]), weight)
+        self._count(PROSE, found[head:], weight)
+        if shaped:
+            self._count(-1, shaped[0], weight)
+        self.texts += weight
+
+
+def models_of(shown: Shown | None = None) -> Models:
+    """Models of the seeds and of what the texts have shown (none: the seeds alone)."""
+    counts, shape_counts = _seed_counts().copy(), _seed_shapes().copy()
+    texts = shown.texts if shown else 0.0
     for s in HEADING_SEEDS.strip().splitlines():
         np.add.at(counts[HEADING], buckets(s + " "), max(1.0, texts / 4))
     np.add.at(counts[PROSE], buckets(ORDER_SEEDS), max(1.0, texts / 20))
     if shown is not None:
-        counts[: len(shown)] += shown
-    return Models(counts)
+        counts += shown.letters
+        shape_counts[TEXT] += shown.shapes
+    return Models(counts, shape_counts, texts)
 
 
 @dataclass
@@ -295,35 +537,30 @@ class Verdict:
     notice: int
     filler: int
     prose: int
-    fields: int
+    field_chars: int
 
 
-def open_fields(text: str, near: np.ndarray | None = None) -> int:
-    """Fields left open. A field right behind an opening quotation mark is quoted, not open; `near` are positions in windows of
-    template fields, and only fields touching one count."""
-    n = end = 0
-    for start in _FIELD_START.finditer(text):
-        m = OPEN_FIELD.match(text, start.start()) if start.start() >= end else None
-        if m is None:
-            continue
-        end = m.end()
-        if m["before"] and m["inner"] is None:
-            continue
-        if near is None or near[m.start() : m.end()].any():
-            n += 1
-    return n
+def verdict(k: np.ndarray, told: np.ndarray, field_chars: int) -> Verdict:
+    size = np.bincount(k[told], minlength=len(CLASSES)) * STEP
+    return Verdict(int(size[NOTICE]), int(size[FILLER]), int(size[PROSE]), field_chars)
 
 
-def judge(text: str, models: Models, found: np.ndarray | None = None) -> Verdict:
-    k = models.classes(text, found)
-    size = np.bincount(k, minlength=len(CLASSES))
-    fields = open_fields(text, k == FIELD) if size[FIELD] else 0
-    return Verdict(int(size[NOTICE]), int(size[FILLER]), int(size[PROSE]), fields)
+def judge(text: str, models: Models) -> Verdict:
+    of = symbols(text)
+    return verdict(*models.classes(text, buckets(text, of)), models.field_chars(near_signs(text, of)))
 
 
-def is_residue(v: Verdict, coverage: float = COVERAGE) -> bool:
+def is_told(v: Verdict, coverage: float = COVERAGE) -> bool:
     told = v.notice + v.filler
-    return v.fields > 0 or (told >= 8 and told >= coverage * (told + v.prose))
+    return told >= LEAST_TOLD and told >= coverage * (told + v.prose)
+
+
+def has_field(v: Verdict) -> bool:
+    return v.field_chars >= FIELD_CHARS
+
+
+def is_residue(v: Verdict) -> bool:
+    return is_told(v) or has_field(v)
 
 
 def with_text(docs: DataFrame) -> DataFrame:
@@ -340,56 +577,54 @@ def different_texts(docs: DataFrame) -> DataFrame:
 
 
 def fit_on(docs: DataFrame) -> Models:
-    """Models of a corpus: prose and headings from all its texts, whole, each different text once, fitted twice. The first fit leaves
-    out the texts that the seeds alone explain as residue, the second those that the first would exclude.
+    """Models of a corpus, from all its texts, whole, each different text once, fitted FITS times, the first time on what the seeds
+    alone keep and exclude, then on what the last models do.
 
-    Each task adds its texts up in one table of buckets; the driver gets at most one row a bucket for any corpus."""
-    texts = different_texts(docs)
-    return _fit(texts, _fit(texts, models_of()))
+    Each task adds its texts up in tables of buckets; the driver gets at most one row a bucket for any corpus."""
+    texts, models = different_texts(docs), models_of()
+    for _ in range(FITS):
+        models = _fit(texts, models)
+    return models
 
 
 def fit_models(texts: list[str]) -> Models:
     """What `fit_on` does, of texts at hand."""
     models = models_of()
-    for _ in range(2):
-        shown, n = _shown(((t, 1.0) for t in dict.fromkeys(texts)), models)
-        models = models_of(shown, n)
+    for _ in range(FITS):
+        shown = Shown()
+        for t in dict.fromkeys(texts):
+            shown.add(t, 1.0, models)
+        models = models_of(shown.close())
     return models
 
 
-def _shown(texts: Iterable[tuple[str, float]], models: Models) -> tuple[np.ndarray, float]:
-    """Counts of prose and headings, and the weight, of the texts that `models` would not exclude."""
-    counts, n = np.zeros((2, BUCKETS)), 0.0
-    for text, weight in texts:
-        found = buckets(text)
-        if not is_residue(judge(text, models, found)):
-            head = head_of(text)
-            np.add.at(counts[HEADING], buckets(text[:head]), weight)
-            np.add.at(counts[PROSE], found[head:], weight)
-            n += weight
-    return counts, n
-
-
 def _fit(texts: DataFrame, models: Models) -> Models:
-    """Models of `texts` (text, weight) but for those that `models` would exclude."""
+    """Models of `texts` (text, weight), given those that tell what is kept."""
     shared = texts.sparkSession.sparkContext.broadcast(models)
+    names = [*CLASSES, "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = _shown(((t.as_py(), w.as_py()) for batch in batches for t, w in zip(batch.column("text"), batch.column("weight"))), shared.value)
-        at = np.flatnonzero(counts.any(axis=0))
-        if n:  # the weight of all texts goes as bucket -1
-            columns = np.append(at, -1), np.append(counts[PROSE, at], n), np.append(counts[HEADING, at], 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1]), pa.array(columns[2])], ["bucket", "prose", "heading"])
-
-    met = texts.mapInArrow(run, "bucket int, prose double, heading double").groupBy("bucket").agg(F.sum("prose").alias("prose"), F.sum("heading").alias("heading")).toArrow()
-    at, prose, heading = (met.column(c).to_numpy() for c in ("bucket", "prose", "heading"))
-    shown, real = np.zeros((2, BUCKETS)), at >= 0
-    shown[PROSE, at[real]], shown[HEADING, at[real]] = prose[real], heading[real]
-    return models_of(shown, float(prose[~real].sum()))
+        shown = Shown()
+        for batch in batches:
+            for t, w in zip(batch.column("text"), batch.column("weight"), strict=True):
+                shown.add(t.as_py(), w.as_py(), shared.value)
+        shown.close()
+        table = np.zeros((len(names), BUCKETS + 1), np.float32)
+        table[:-1, :BUCKETS], table[-1, :SHAPE_BUCKETS], table[-1, BUCKETS] = shown.letters, shown.shapes, shown.texts
+        at = np.flatnonzero(table.any(axis=0))  # the weight of all texts goes as the last bucket
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(row[at]) for row in table)], ["bucket", *names])
+
+    met = texts.mapInArrow(run, "bucket int, " + ", ".join(f"{n} float" for n in names))
+    met = met.groupBy("bucket").agg(*[F.sum(n).cast("float").alias(n) for n in names]).toArrow()
+    table = np.zeros((len(names), BUCKETS + 1), np.float32)
+    for row, n in zip(table, names, strict=True):
+        row[met.column("bucket").to_numpy()] = met.column(n).to_numpy()
+    return models_of(Shown(table[:-1, :BUCKETS], table[-1, :SHAPE_BUCKETS], float(table[-1, BUCKETS])))
 
 
 def judged_texts(docs: DataFrame, models: Models | None = None) -> DataFrame:
-    """(doc_id, n_notice, n_filler, n_prose, n_fields, residue) of every text that is not null, empty or blank.
+    """(doc_id, n_notice, n_filler, n_prose, n_field, residue) of every text that is not null, empty or blank: characters by class.
 
     Each text is judged where it is read, in one pass over its whole length; rows without text are no cases."""
     shared = docs.sparkSession.sparkContext.broadcast(models or fit_on(docs))
@@ -398,11 +633,11 @@ def judged_texts(docs: DataFrame, models: Models | None = None) -> DataFrame:
         m = shared.value
         for batch in batches:
             got = [judge(t.as_py(), m) for t in batch.column("text")]
-            columns = [pa.array([getattr(v, a) for v in got], pa.int64()) for a in ("notice", "filler", "prose", "fields")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([is_residue(v) for v in got], pa.bool_())], ["doc_id", "n_notice", "n_filler", "n_prose", "n_fields", "residue"])
+            columns = [pa.array([getattr(v, a) for v in got], pa.int64()) for a in ("notice", "filler", "prose", "field_chars")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([is_residue(v) for v in got], pa.bool_())], ["doc_id", "n_notice", "n_filler", "n_prose", "n_field", "residue"])
 
     texts = with_text(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id bigint, n_notice bigint, n_filler bigint, n_prose bigint, n_fields bigint, residue boolean")
+    return texts.mapInArrow(run, "doc_id bigint, n_notice bigint, n_filler bigint, n_prose bigint, n_field bigint, residue boolean")
 
 
 def residue_docs(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
+import os
 import random
+import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from parcelforge.llm import residue
@@ -56,10 +59,48 @@ def test_decisions(models, text):
 
 def test_windows_localise(models):
     text = prose(8) + "\n\nVotre navigateur bloque les scripts : le contenu ne peut pas être affiché.\n\n" + prose(8, 2)
-    k = models.classes(text)
+    k, _ = models.classes(text)
     at = text.index("Votre navigateur")
-    inside = (k[at : at + 70] == residue.NOTICE).mean()
-    assert inside > 0.8 and (k[: at - 30] == residue.NOTICE).mean() < 0.02
+    inside = (k[at // residue.STEP : (at + 70) // residue.STEP] == residue.NOTICE).mean()
+    assert inside > 0.7 and (k[: (at - 30) // residue.STEP] == residue.NOTICE).mean() < 0.02
+
+
+def test_field_windows_localise(models):
+    """Only the parts near signs are looked at, and only windows of fields are told."""
+    text = prose(40) + " de {{nom du lieu}} à " + prose(40, 2)
+    near = residue.near_signs(text)
+    assert "{{nom du lieu}}" in near
+    assert 2 <= models.field_chars(near) <= 40
+    assert models.field_chars(residue.near_signs(prose(40))) == 0
+    assert models.field_chars("") == 0
+
+
+def _normal(text):
+    return re.sub(r"\s+", " ", text.lower())
+
+
+@pytest.mark.parametrize("table", ["documents", "eval_items"])
+def test_seeds_are_no_test_texts(sf, table):
+    """No seed wording shares a run of 25 characters with a text of the test tables."""
+    n, runs = 25, set()
+    lines = [line for _, s, _ in residue._seed_wordings() for line in s.splitlines()]
+    for s in [*lines, *residue.ORDER_SEEDS.splitlines(), *residue.REDACTION_SEEDS.splitlines(), *residue.HEADING_SEEDS.splitlines()]:
+        s = _normal(s)
+        runs |= {s[i : i + n] for i in range(len(s) - n + 1)}
+    for size in ("sf0.001", "sf0.01"):
+        path = f"{os.path.dirname(sf)}/{size}/{table}.parquet"
+        for text in pq.read_table(path, columns=["text"]).column("text").to_pylist() if os.path.exists(path) else []:
+            t = _normal(text or "")
+            assert runs.isdisjoint(t[i : i + n] for i in range(len(t) - n + 1))
+
+
+def test_learns_a_corpus_own_wordings():
+    """A notice that no seed resembles is learnt from texts in which it stands beside one that is told."""
+    strange = "Kontrakt w trakcie odnawiania, zapraszamy ponownie jutro rano."
+    texts = [prose(12, i) for i in range(60)] + [f"Page introuvable. Le serveur a rencontré une erreur interne. {strange}", f"{strange} Accès non autorisé : vous devez être connecté."]
+    assert not residue.is_residue(residue.judge(strange, residue.models_of()))
+    models = residue.fit_models(texts)
+    assert all(residue.is_residue(residue.judge(t, models)) for t in texts[60:])
 
 
 def test_frame(spark):
