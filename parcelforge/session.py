@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -37,12 +38,15 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where none is named, as in tests, a fresh local one."""
+    """The folder of spark.checkpoint.dir. Only where none is named and Spark runs in one process, as in tests, a fresh local one;
+    on a cluster a folder of one machine would lose the rows with it, so a missing setting is an error there."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="parcelforge-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
