@@ -81,3 +81,23 @@ def test_copies_of_a_page_count_once(spark):
     page = "Les parties conviennent que tout\ncommune qui accepte les bicns dans\nleur état actuel"
     got = run(spark, base + [(d, 1, page) for d in range(1, 21)] + [(d, 1, f"{page}\nAffaire numéro {d}") for d in range(21, 41)])
     assert got == {(d, 1, 2, "misread", "biens") for d in range(1, 41)}
+
+
+def test_two_versions_of_a_page(spark):
+    """Each text under a page's number is repaired by itself."""
+    base = corpus(random.Random(9))
+    one = "- 1 -\nLes parties conviennent que tout\ndifférend relatif aux clauses"
+    two = "Les parties conviennent que tout\ndifférend relatif aux bicns\n1"
+    df = spark.createDataFrame([*base, (1, 1, one), (1, 1, two), (1, 1, two)], "doc_id bigint, page_no int, text string")
+    rows = scan.repaired_pages(df, spark.createDataFrame([("Saint-Vignisart",)], "nom string")).where("doc_id = 1").collect()
+    assert sorted(r.text for r in rows) == ["Les parties conviennent que tout différend relatif aux biens", "Les parties conviennent que tout différend relatif aux clauses"]
+
+
+def test_short_running_line_and_top_of_page(spark):
+    """A running line of two words comes on three pages at one edge; the end of a broken word spares its own line only."""
+    body = "Les parties conviennent que tout\ndifférend relatif aux clauses"
+    pages = [(1, n, f"Bail emphytéotique\n{body}") for n in (1, 2, 3)] + [(2, n, f"Bail emphytéotique\n{body}") for n in (1, 2)]
+    pages += [(3, 1, "la contenance indiquée résulte des im-"), (3, 2, "bicns du propriétaire\nqui accepte les bicns dans")]
+    got = run(spark, corpus(random.Random(9)) + pages)
+    assert {r[:4] for r in got if r[3] == "header"} == {(1, n, 1, "header") for n in (1, 2, 3)}
+    assert {r for r in got if r[3] == "misread"} == {(3, 2, 2, "misread", "biens")}
