@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.binding import let, once
+from parcelforge.session import cut_lineage
 
 # Square metres of one unit.
 FACTORS = {"km2": 1_000_000.0, "ha": 10_000.0, "1000 m2": 1_000.0, "a": 100.0, "ca": 1.0, "m2": 1.0}
@@ -34,6 +35,9 @@ CANDIDATES = ("m2", "a", "1000 m2", "ha", "km2")
 BIN, LOW, HIGH = 0.02, -8.0, 12.0
 N_BINS = round((HIGH - LOW) / BIN)
 
+#: Posterior below which a fitted unit is uncertain.
+SURE = 0.9
+
 _NUM = r"[0-9]+(?:[.,][0-9]+)?"
 _SPACE = r"[\s    ]"
 
@@ -122,11 +126,9 @@ def state_areas(rows: DataFrame, source_units: DataFrame) -> DataFrame:
     # one row per source: its validities as an array, so no row of the large side is multiplied
     units = unit_intervals(source_units).groupBy("u_source").agg(F.sort_array(F.collect_set(F.struct("u_from", "u_to", "u_factor")), asc=False).alias("spans"))
     holding = F.filter("spans", lambda s: (s["u_from"] <= F.col("t")) & (F.col("t") < s["u_to"]))
-    return (
-        base.join(units, base.source == units.u_source, "left")
-        .withColumn("factor", F.try_element_at(holding, F.lit(1))["u_factor"])
-        .select("verif_id", "source", F.coalesce("by_text", F.col("number") * F.col("factor"), F.when(F.col("number") == 0, F.lit(0.0))).alias("area"), "number")
-    )
+    area = F.coalesce("by_text", F.col("number") * F.col("factor"), F.when(F.col("number") == 0, F.lit(0.0)))
+    met = base.join(units, base.source == units.u_source, "left").withColumn("factor", F.try_element_at(holding, F.lit(1))["u_factor"])
+    return met.select("verif_id", "source", area.alias("area"), "number", F.when(F.col("by_text").isNull(), F.col("factor")).alias("factor"))
 
 
 def log_bin(c: Column) -> Column:
@@ -164,43 +166,52 @@ def smooth(hist: np.ndarray, width: float = 0.08) -> np.ndarray:
     return out / out.sum() if out.sum() else np.full(N_BINS, 1 / N_BINS)
 
 
-def assign_units(stated: DataFrame, base: np.ndarray, sure: float = 0.9) -> DataFrame:
-    """(f_source, f_bin, unit_factor, posterior, uncertain): the unit of each log bin of numbers without one, fitted per source.
+def histogram(stated: DataFrame, by: Column) -> dict[int, np.ndarray]:
+    """Known areas over the log bins, for each value of `by`; at most N_BINS rows a value come to the driver."""
+    out: dict[int, np.ndarray] = {}
+    for r in stated.where("area > 0").groupBy(by.alias("by"), log_bin(F.col("area")).alias("bin")).count().collect():
+        out.setdefault(r["by"], np.zeros(N_BINS))[r["bin"]] = r["count"]
+    return out
+
+
+def assign_units(left: DataFrame, bases: dict[int, np.ndarray], sure: float = SURE) -> DataFrame:
+    """(f_fold, f_source, f_bin, unit_factor, posterior, uncertain): the unit of each log bin of the numbers of `left` (fold, source,
+    number), fitted by fold and source on the fold's reference distribution.
 
-    A fitting task gets at most N_BINS rows a source, whatever the input's size."""
+    A fitting task gets at most N_BINS rows a source and fold, whatever the input's size."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, post = fit_weights(base, pdf["bin"].to_numpy(), pdf["n"].to_numpy(dtype=float))
+        _, post = fit_weights(bases[int(pdf["fold"].iloc[0])], pdf["bin"].to_numpy(), pdf["n"].to_numpy(dtype=float))
         best = post.argmax(axis=1)
         p = post[np.arange(len(best)), best]
-        return pd.DataFrame({"f_source": pdf["source"], "f_bin": pdf["bin"], "unit_factor": [FACTORS[CANDIDATES[i]] for i in best], "posterior": p, "uncertain": p < sure})
+        return pd.DataFrame({"f_fold": pdf["fold"], "f_source": pdf["source"], "f_bin": pdf["bin"], "unit_factor": [FACTORS[CANDIDATES[i]] for i in best], "posterior": p, "uncertain": p < sure})
 
-    open_rows = stated.where("area is null").groupBy("source", log_bin(F.col("number")).alias("bin")).agg(F.count("*").alias("n"))
-    return open_rows.groupBy("source").applyInPandas(fit, "f_source string, f_bin int, unit_factor double, posterior double, uncertain boolean")
+    open_rows = left.groupBy("fold", "source", log_bin(F.col("number")).alias("bin")).agg(F.count("*").alias("n"))
+    return open_rows.groupBy("fold", "source").applyInPandas(fit, "f_fold int, f_source string, f_bin int, unit_factor double, posterior double, uncertain boolean")
 
 
-def common_areas(rows: DataFrame, source_units: DataFrame, sure: float = 0.9) -> DataFrame:
+def with_units(left: DataFrame, bases: dict[int, np.ndarray], sure: float = SURE) -> DataFrame:
+    """`left` (fold, source, number, ..) with unit_factor, posterior and uncertain. The fitted units have one row a bin and source."""
+    fitted, left = assign_units(left, bases, sure), left.withColumn("bin", log_bin(F.col("number")))
+    same = left.source.eqNullSafe(fitted.f_source) & (left.bin == fitted.f_bin) & (left.fold == fitted.f_fold)
+    return left.join(fitted, same).drop("f_fold", "f_source", "f_bin", "bin")
+
+
+def common_areas(rows: DataFrame, source_units: DataFrame, sure: float = SURE) -> DataFrame:
     """(verif_id, area_m2, unit_from, posterior, uncertain), one row per verif_id with a stated area.
 
     Rows delivered twice count once: should their statements differ, the largest area holds with the least posterior. A zero
-    quantity is an area of 0; a negative one states none. unit_from is `stated` (text or source) or `fitted` (mixture). Only a
-    histogram of at most N_BINS + 1 rows comes to the driver; the mixture is planned only if a number is left without a unit."""
+    quantity is an area of 0; a negative one states none. unit_from is `stated` (text or source) or `fitted` (mixture). The texts are
+    read once; what they state is kept. Only a histogram of at most N_BINS rows comes to the driver, and only if a number is left
+    without a unit."""
     stated = state_areas(rows, source_units).where("area >= 0 or (area is null and number >= 0)")
-    hist, open_rows = np.zeros(N_BINS), 0
-    for r in stated.groupBy(F.when(F.col("area") > 0, log_bin(F.col("area"))).when(F.col("area").isNull(), -1).alias("bin")).count().collect():
-        if r["bin"] == -1:
-            open_rows = r["count"]
-        elif r["bin"] is not None:
-            hist[r["bin"]] = r["count"]
+    stated = cut_lineage(stated.select("verif_id", "area", F.when(F.col("area").isNull(), F.col("source")).alias("source"), F.when(F.col("area").isNull(), F.col("number")).alias("number")))
     every = stated.where("area is not null").select("verif_id", "area", F.lit(False).alias("fitted"), F.lit(1.0).alias("posterior"))
-    if open_rows:
-        fitted = assign_units(stated, smooth(hist), sure)
-        left = stated.where("area is null").withColumn("bin", log_bin(F.col("number")))
-        every = every.unionByName(
-            left.join(fitted, left.source.eqNullSafe(fitted.f_source) & (left.bin == fitted.f_bin)).select(
-                "verif_id", (F.col("number") * F.col("unit_factor")).alias("area"), F.lit(True).alias("fitted"), "posterior"
-            )
-        )
+    left = stated.where("area is null")
+    if not left.isEmpty():
+        base = smooth(histogram(stated, F.lit(0)).get(0, np.zeros(N_BINS)))
+        got = with_units(left.withColumn("fold", F.lit(0)), {0: base}, sure)
+        every = every.unionByName(got.select("verif_id", (F.col("number") * F.col("unit_factor")).alias("area"), F.lit(True).alias("fitted"), "posterior"))
     # fixed-width values, so that the aggregation stays in hash tables with a partial step before the shuffle
     return (
         every.groupBy("verif_id")
@@ -213,3 +224,19 @@ def common_areas(rows: DataFrame, source_units: DataFrame, sure: float = 0.9) ->
             (F.col("posterior") < sure).alias("uncertain"),
         )
     )
+
+
+def hidden_units(rows: DataFrame, source_units: DataFrame, folds: int = 3, sure: float = SURE) -> DataFrame:
+    """(verif_id, source, factor, unit_factor, posterior, uncertain): every number whose unit its source tells, once with that unit
+    hidden: `factor` is the hidden one, `unit_factor` what the mixture assigns.
+
+    The numbers fall into `folds` by a hash of verif_id. Each fold is fitted in turn without its units, on the distribution of all
+    areas that texts or the sources of the other folds tell."""
+    fold = F.pmod(F.xxhash64("verif_id"), F.lit(folds)).cast("int")
+    stated = state_areas(rows, source_units).where("area >= 0").select("verif_id", "source", "area", "factor", "number", fold.alias("fold"))
+    stated = cut_lineage(stated.distinct())
+    own = histogram(stated.where("factor is not null"), F.col("fold"))
+    said = histogram(stated.where("factor is null"), F.lit(0)).get(0, np.zeros(N_BINS))
+    bases = {f: smooth(said + sum((h for g, h in own.items() if g != f), np.zeros(N_BINS))) for f in range(folds)}
+    hidden = stated.where("factor is not null and number > 0")
+    return with_units(hidden, bases, sure).select("verif_id", "source", "factor", "unit_factor", "posterior", "uncertain")

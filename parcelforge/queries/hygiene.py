@@ -55,6 +55,24 @@ def p4_uncertain(spark: SparkSession, d: str) -> DataFrame:
     return _areas(spark, d).groupBy("unit_from", "uncertain").agg(F.count("*").alias("n_areas"), F.sum("area_m2").alias("sum_m2"))
 
 
+def _hidden(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "verify_parcelle", "verif_id", "source", "contenance_ha", "contenance", "verified_at")
+    got = units.hidden_units(rows, table(spark, d, "source_units"))
+    right = (F.col("factor") == F.col("unit_factor")) & ~F.col("uncertain")
+    return got.groupBy(F.col("factor").alias("unit_m2")).agg(F.count("*").alias("n_rows"), F.count_if(~F.col("uncertain")).alias("n_sure"), F.count_if(right).alias("n_right"))
+
+
+def p4_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers whose source tells their unit, fitted with that unit hidden: by true unit, how many, how many surely assigned, how many
+    of those rightly."""
+    return _hidden(spark, d)
+
+
+def p4_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """The same as (unit_m2, n_rows, accurate): whether at least 0.95 of the surely assigned ones are right, and there are any."""
+    return _hidden(spark, d).select("unit_m2", "n_rows", ((F.col("n_sure") > 0) & (F.col("n_right") >= 0.95 * F.col("n_sure"))).alias("accurate"))
+
+
 _IDU_RE = "^([0-9]{5})[0-9]+([A-Za-z]{1,2})([0-9]{3,4})$"
 
 
@@ -94,7 +112,7 @@ found AS (
 _N = "[0-9]+(?:[.,][0-9]+)?"
 _UNIT_SQL = {"km2": "km ?2|kilom[eè]tres? carr[eé]s?", "ha": "hectares?|ha", "a": "ares?|a", "m2": "m[eè]tres? carr[eé]s?|m ?2|centiares?|ca"}
 
-_P4_SQL = f"""
+_P4_PARTS = f"""
 WITH c AS (SELECT verif_id, source, verified_at AS t, contenance_ha AS ha,
     regexp_replace(replace(lower(contenance), '²', '2'), '[\\s\\x{{00A0}}\\x{{202F}}\\x{{2009}}]+', ' ', 'g') AS s FROM verify_parcelle),
 o1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '([0-9])o', '\\1~', 'g'), 'o([0-9])', '~\\1', 'g'), '(^|[^a-zà-ÿ0-9])o( ?(?:ha|a|ca)(?:$|[^a-zà-ÿ]))', '\\1~\\2', 'g') AS z FROM c),
@@ -109,9 +127,16 @@ v AS (SELECT *, CASE WHEN coalesce(lha, la, lca) IS NOT NULL THEN coalesce(lha,
     WHEN regexp_matches(n1, '[.,]') THEN try_cast(replace(n1, ',', '.') AS DOUBLE) * 10000
     WHEN regexp_matches(n2, '[.,]') THEN coalesce(CAST(n1 AS DOUBLE), 0) * 10000 + try_cast(replace(n2, ',', '.') AS DOUBLE) * 100
     WHEN coalesce(n1, n2, n3) IS NOT NULL THEN coalesce(CAST(n1 AS DOUBLE), 0) * 10000 + coalesce(CAST(n2 AS DOUBLE), 0) * 100 + coalesce(try_cast(replace(n3, ',', '.') AS DOUBLE), 0) END AS said,
-    coalesce(ha, bare) * CASE (SELECT max(unit) FROM source_units u WHERE u.source = q.source AND (valid_from IS NULL OR valid_from <= t) AND (valid_to IS NULL OR t < valid_to))
-      WHEN 'ha' THEN 10000 WHEN 'a' THEN 100 WHEN '1000 m2' THEN 1000 ELSE 1 END AS given FROM q)
-SELECT verif_id, CAST(round(max(coalesce(said, given))) AS BIGINT) AS area_m2 FROM v WHERE coalesce(said, given) IS NOT NULL GROUP BY verif_id"""
+    coalesce(ha, bare) AS num, CASE (SELECT max(unit) FROM source_units u WHERE u.source = q.source AND (valid_from IS NULL OR valid_from <= t) AND (valid_to IS NULL OR t < valid_to))
+      WHEN 'ha' THEN 10000 WHEN 'a' THEN 100 WHEN '1000 m2' THEN 1000 ELSE 1 END AS factor FROM q),
+w AS (SELECT *, num * factor AS given FROM v)
+"""
+_P4_SQL = _P4_PARTS + """SELECT verif_id, CAST(round(max(coalesce(said, given))) AS BIGINT) AS area_m2 FROM w WHERE coalesce(said, given) IS NOT NULL GROUP BY verif_id"""
+_P4_HIDDEN_SQL = (
+    _P4_PARTS
+    + """SELECT CAST(factor AS DOUBLE) AS unit_m2, count(*) AS n_rows, true AS accurate
+    FROM (SELECT DISTINCT verif_id, source, num, factor, said FROM w) x WHERE said IS NULL AND num > 0 GROUP BY factor"""
+)
 
 _QUOTES = '"(?:[^"]|"")*"|«[^»]*»'
 _P5_SQL = f"""
@@ -128,12 +153,15 @@ QUERIES: dict[str, Query] = {
     "p2_report": p2_report,
     "p4_found": p4_found,
     "p4_uncertain": p4_uncertain,
+    "p4_accuracy": p4_accuracy,
+    "p4_hidden": p4_hidden,
     "p5_found": p5_found,
     "p5_malformed": p5_malformed,
 }
 ORACLES: dict[str, str] = {
     "p2_found": _P2_SQL + "SELECT * FROM found",
     "p4_found": _P4_SQL,
+    "p4_hidden": _P4_HIDDEN_SQL,
     "p5_found": _P5_SQL,
     "p2_report": _P2_SQL + "SELECT src_table, period, ref, reason, count(*) AS n_refs FROM found GROUP BY ALL",
 }
