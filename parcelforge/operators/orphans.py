@@ -2,7 +2,7 @@
 
 Parent and child keys are put in long form, tagged, and grouped by key and month in one partial aggregation; a running
 summary over the months of a key (few rows however many references it has) tells which groups lack a living parent. Only the
-references of such groups are looked at one by one, and only those whose month also holds a parent's start need the exact order.
+references of such groups are looked at one by one, against the lives that begin in their month.
 """
 
 from __future__ import annotations
@@ -53,8 +53,9 @@ def orphan_refs(children: DataFrame, parents: DataFrame) -> DataFrame:
     is an orphan only if its key is missing.
 
     Skew: a key with a third of all references shrinks to one row a month before the first shuffle. The join back is on key and
-    month with one row a group on the right, which AQE's skew join splits; no group is collected. Only references in a month in
-    which a parent of the same key starts are ordered by time, in a window a key and month."""
+    month with one row a group on the right, which AQE's skew join splits; no group of references is collected or ordered. Where
+    parents of a key start in the month, their different lives come as an array of that row and each reference looks them up in it;
+    the array grows with how often one record is loaded anew in a month, not with its references."""
     kids = children.withColumn("m", F.coalesce(_month(F.col("t")), F.lit(0)))
     unread = kids.where("key is null").select("src_table", "row_id", "ref", F.lit("missing").alias("reason"), "t")
     kids = kids.where("key is not null")
@@ -76,21 +77,16 @@ def orphan_refs(children: DataFrame, parents: DataFrame) -> DataFrame:
     suspect = groups.where(f"child = 1 and (carry is null or carry < {FOREVER}) and not (m = 0 and any)")
 
     key = ["ref", "key", "m"]
-    plain = kids.join(suspect.where("not starts").select(*key, "carry", "any"), key).where("carry is null or t >= carry")
-    reason = F.when(~F.col("any"), "missing").when(F.col("carry").isNull(), "late").otherwise("deleted")
-    plain = plain.select("src_table", "row_id", "ref", reason.alias("reason"), "t")
-
-    mixed_groups = suspect.where("starts").select(*key, "carry")
-    mixed = (
-        kids.select(*key, "src_table", "row_id", "t", F.lit(None).cast("timestamp").alias("until"))
-        .unionByName(spans.select(*key, F.lit(None).cast("string").alias("src_table"), F.lit(None).cast("bigint").alias("row_id"), "t", "until"))
-        .join(mixed_groups, key)
-    )
-    upto = Window.partitionBy(*key).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    mixed = mixed.withColumn("lives", F.greatest("carry", F.max("until").over(upto))).where("src_table is not null and (lives is null or t >= lives)")
-    mixed = mixed.select("src_table", "row_id", "ref", F.when(F.col("lives").isNull(), "late").otherwise("deleted").alias("reason"), "t")
-
-    every = unread.unionByName(plain).unionByName(mixed)
+    starting = spans.groupBy(*key, "t").agg(F.max("until").alias("until")).join(suspect.where("starts").select(*key), key, "left_semi")
+    lives = starting.groupBy(*key).agg(F.collect_list(F.struct("t", "until")).alias("lives"))
+    right = suspect.select(*key, "carry", "any").join(lives, key, "left")
+    met = kids.join(right, key)
+    begun = F.array_max(F.transform(F.filter("lives", lambda s: s["t"] <= F.col("t")), lambda s: s["until"]))
+    met = met.withColumn("last", F.greatest("carry", begun)).where("last is null or t >= last")
+    reason = F.when(~F.col("any"), "missing").when(F.col("last").isNull(), "late").otherwise("deleted")
+    met = met.select("src_table", "row_id", "ref", reason.alias("reason"), "t")
+
+    every = unread.unionByName(met)
     return every.select("src_table", "row_id", "ref", "reason", F.date_format("t", "yyyy-MM").alias("period")).distinct()
 
 
