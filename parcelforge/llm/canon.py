@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelforge.functions.binding import once
 from parcelforge.functions.text import strip_accents
 from parcelforge.operators.joins import bounded
+from parcelforge.session import cut_lineage
 
 # Abbreviations of words in place names.
 ABBREVIATIONS = {"st": "saint", "ste": "sainte", "s": "sur", "ss": "sous", "gd": "grand", "gde": "grande", "pt": "petit", "pte": "petite", "vx": "vieux", "nd": "notredame"}
@@ -33,7 +35,8 @@ EDITS = ((11, 4), (8, 3), (6, 2), (0, 1))
 MAX_EDITS = EDITS[0][1]
 #: Edits allowed where the candidate holds other words than surroundings and numbers beside the span: by the entry's length.
 STRAY_EDITS = ((8, 1), (0, 0))
-MAX_WORDS = 9
+#: Characters of a spelling that folding makes one of, at most; with the longest entry it bounds the words of a span.
+FOLDED_RUN = 2
 
 
 def edits_of(length: Column, table: tuple[tuple[int, int], ...] = EDITS) -> Column:
@@ -105,16 +108,26 @@ def probe_plan(spark, longest: int) -> DataFrame:
 
 
 def name_spans(keys: DataFrame, least: int, longest: int) -> DataFrame:
-    """(key_id columns.., s_key, s_fold, n, stray) of every run of at most MAX_WORDS words; stray: words beside it that are no
-    surroundings."""
+    """(key_id columns.., s_key, s_fold, n, stray) of every run of words that folds to least .. longest + MAX_EDITS characters; stray:
+    words beside it that are no surroundings. A word has a character at least, so longer runs of words need not be tried."""
+    most = FOLDED_RUN * (longest + MAX_EDITS)
     at = F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at")
-    rows = keys.where("size(w) > 0").select("*", at).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORDS), F.size("w") - F.col("at") + 1))).alias("many"))
-    rows = rows.withColumn("s_key", F.array_join(F.slice("w", F.col("at"), F.col("many")), "")).withColumn("s_fold", fold(F.col("s_key")))
+    rows = keys.where("size(w) > 0").select("*", at).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("at") + 1))).alias("many"))
+    rows = once(rows, s_key=F.array_join(F.slice("w", F.col("at"), F.col("many")), "")).where((F.length("s_key") >= least) & (F.length("s_key") <= most))
+    rows = once(rows, s_fold=fold(F.col("s_key")))
     beside = F.concat(F.slice("w", F.lit(1), F.col("at") - 1), F.slice("w", F.col("at") + F.col("many"), F.size("w")))
     rows = rows.withColumn("stray", F.exists(beside, lambda x: ~x.isin(SURROUNDINGS) & ~x.rlike("^[0-9]+$")))
     return rows.withColumn("n", F.length("s_fold")).where((F.col("n") >= least) & (F.col("n") <= longest + MAX_EDITS)).drop("w", "at", "many")
 
 
+def near_entries(spellings: DataFrame, ents: DataFrame, longest: int) -> DataFrame:
+    """(s_fold, e_id, lev) of every pair of a folded spelling (s_fold, n) and an entry within the entry's edits."""
+    probes = spellings.join(bounded(probe_plan(ents.sparkSession, longest)), "n").withColumn("p_text", F.expr("substring(s_fold, pos, size)"))
+    met = probes.join(bounded(segment_index(ents)), ["p_len", "p_seg", "p_text"]).select("s_fold", "e_id").distinct()
+    met = once(met.join(bounded(ents), "e_id"), lev=F.levenshtein("s_fold", "e_fold", MAX_EDITS))
+    return met.where((F.col("lev") >= 0) & (F.col("lev") <= F.col("e_k"))).select("s_fold", "e_id", "lev")
+
+
 def map_names(candidates: DataFrame, reference: DataFrame) -> DataFrame:
     """(cand_id, code) of every non-blank candidate, code = `unmatched` where no entry is near enough.
 
@@ -122,7 +135,8 @@ def map_names(candidates: DataFrame, reference: DataFrame) -> DataFrame:
     fewest edits wins; ties go to the row's department (or one named in brackets or by a code in the candidate), then to the order
     of the list. Null and blank candidates give no row; repeated rows give one; an empty list leaves all unmatched.
 
-    Scale: equal candidates are mapped once (partial aggregation absorbs a name that holds a third of the rows); the joins with
+    Scale: equal candidates are mapped once (partial aggregation absorbs a name that holds a third of the rows), and equal spellings
+    within them are looked up once; the joins with
     the list are map-side only behind a count of the list, the last join back to the rows has one row a name on the right, so
     AQE splits a hot name's rows."""
     spark = candidates.sparkSession
@@ -145,10 +159,9 @@ def map_names(candidates: DataFrame, reference: DataFrame) -> DataFrame:
     ents_b = bounded(ents)
 
     spans = name_spans(names.select(*name, "w"), least, longest)
-    probes = spans.join(F.broadcast(probe_plan(spark, longest)), "n").withColumn("p_text", F.expr("substring(s_fold, pos, size)"))
-    met = probes.join(bounded(segment_index(ents)), ["p_len", "p_seg", "p_text"]).select(*name, "s_key", "s_fold", "stray", "e_id")
+    near = cut_lineage(near_entries(spans.select("s_fold", "n").distinct(), ents, longest))
     allowed = F.when(F.col("stray"), edits_of(F.col("e_len"), STRAY_EDITS)).otherwise(F.col("e_k"))
-    met = met.join(ents_b, "e_id").withColumn("lev", F.levenshtein("s_fold", "e_fold", MAX_EDITS)).where((F.col("lev") >= 0) & (F.col("lev") <= allowed))
+    met = spans.join(bounded(near, 500_000), "s_fold").join(ents_b, "e_id").where(F.col("lev") <= allowed)
     # one long orders them: length against edits, exact spelling, code and department named, place in the list
     score = F.col("e_len") - 3 * F.col("lev")
     exact = F.least(F.levenshtein("s_key", "e_key"), F.lit(15))

@@ -102,7 +102,7 @@ names AS (SELECT candidate, coalesce(dep, '') AS dep, coalesce(nullif(coalesce(d
   FROM (SELECT DISTINCT candidate, dep FROM extract_commune WHERE trim(candidate) <> '')),
 starts AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM names),
 spans AS (SELECT DISTINCT candidate, dep, hint, said, array_to_string(ws[i:j], '') AS sk,
-  len(list_filter(list_concat(CASE WHEN i > 1 THEN ws[1:i - 1] ELSE [] END, ws[j + 1:]), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in canon.SURROUNDINGS)}) AND NOT regexp_full_match(w, '[0-9]+'))) > 0 AS stray FROM (SELECT *, unnest(range(i, least(len(ws), i + {canon.MAX_WORDS - 1}) + 1)) AS j FROM starts)),
+  len(list_filter(list_concat(CASE WHEN i > 1 THEN ws[1:i - 1] ELSE [] END, ws[j + 1:]), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in canon.SURROUNDINGS)}) AND NOT regexp_full_match(w, '[0-9]+'))) > 0 AS stray FROM (SELECT *, unnest(range(i, least(len(ws), i + 2 * (SELECT max(length(ef)) + 4 FROM ents)) + 1)) AS j FROM starts)),
 folded AS (SELECT *, {_sql_fold("sk")} AS sf FROM spans),
 met AS (SELECT f.*, ents.code, ents.dep AS dep_1, list_pos, ek, ef, levenshtein(sf, ef) AS lev FROM folded f JOIN ents ON abs(length(sf) - length(ef)) <= k AND levenshtein(sf, ef) <= CASE WHEN NOT stray THEN k {" ".join(f"WHEN length(ef) >= {n} THEN {k}" for n, k in canon.STRAY_EDITS)} END),
 best AS (SELECT candidate, dep, code FROM (SELECT m.candidate, m.dep, m.code, row_number() OVER (PARTITION BY m.candidate, m.dep

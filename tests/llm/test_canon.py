@@ -26,6 +26,13 @@ def test_cases(spark):
     assert got == {i: code for i, (_, _, code) in enumerate(CASES)}
 
 
+def test_long_names(spark):
+    """Entries of more words than usual, and a name broken into its letters."""
+    long = [("Chef de projet du service des archives de la ville de Barmauroy le Grand", "9", "52", 8), *LIST]
+    got = run(spark, [("chef de projet du service des archives de la vi1le de Barmauroy-le-Grand", None), ("S A I N T E B A R M A U R O Y", None), ("S A I N T E   B A R M A U R Z Z Z Z Z Z", None)], long)
+    assert got == {0: "9", 1: "3", 2: "unmatched"}
+
+
 def test_empty(spark):
     assert run(spark, [("Barpozac", None)], []) == {0: "unmatched"}
     df = spark.createDataFrame([], "cand_id bigint, candidate string, dep string")
