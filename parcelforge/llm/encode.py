@@ -121,12 +121,12 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, leaf: int = LEAF_CHARS, parts: int | None = None) -> DataFrame:
     """(id, ids) of every row, repeated rows included: an empty list for a null and for an empty text, blank texts encoded as
     they are. Strings that look like special tokens are ordinary text. Only the two columns named are read.
 
-    Texts up to `leaf` characters never leave their task. Longer ones are spread leaf by leaf over the cluster; what comes
-    together again for a text is its own result row."""
+    Texts up to `leaf` characters never leave their task. Longer ones are spread leaf by leaf over `parts` tasks (the session's shuffle
+    partitions, at least one a core); what comes together again for a text is its own result row. Texts are shorter than 2^31."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     size = F.coalesce(F.length("text"), F.lit(0))
 
@@ -140,7 +140,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for b in _slices(batch, 16):
                 nodes = [encode_leaf(t, s, path) for t, s in zip(b.column("part").to_pylist(), b.column("start").to_pylist(), strict=True)]
-                arrays = [*(b.column(c) for c in ("id", "whole", "start", "part")), *(_lists([getattr(n, c) for n in nodes], k) for c, k in (("ends", pa.int64()), ("upto", pa.int64()), ("ids", pa.int32())))]
+                arrays = [*(b.column(c) for c in ("id", "whole", "start", "part")), *(_lists([getattr(n, c).astype(np.int32) for n in nodes], pa.int32()) for c in ("ends", "upto", "ids"))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "whole", "start", "part", "ends", "upto", "ids"])
 
     def joined(group: pa.Table) -> pa.Table:
@@ -154,7 +154,11 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the row's own number keeps two rows under one id apart
     long = docs.where(size > leaf).select("id", F.monotonically_increasing_id().alias("whole"), "text")
     long = long.select("id", "whole", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(leaf))).alias("start"))
-    long = long.select("id", "whole", "start", F.expr(f"substring(text, start + 1, {leaf})").alias("part")).repartition("whole", "start")
-    tree = long.mapInArrow(leaves, "id bigint, whole bigint, start int, part string, ends array<bigint>, upto array<bigint>, ids array<int>")
+    long = long.select("id", "whole", "start", F.expr(f"substring(text, start + 1, {leaf})").alias("part"))
+    # a number of partitions that adaptive execution leaves alone: leaves are small for the work they are
+    spark = docs.sparkSession
+    tasks = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    long = long.repartition(tasks, "whole", "start")
+    tree = long.mapInArrow(leaves, "id bigint, whole bigint, start int, part string, ends array<int>, upto array<int>, ids array<int>")
     tree = tree.groupBy("id", "whole").applyInArrow(joined, "id bigint, ids array<int>")
     return short.unionByName(tree).withColumnRenamed("id", id_col)

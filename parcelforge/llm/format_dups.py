@@ -2,8 +2,8 @@
 
 Characters stream through one lookup table that skips what is only writing (spaces, punctuation, symbols) and folds case. Each
 named field gets rolling polynomial hashes of what is left, under two moduli; the record's hash is a sum over its fields, so the
-order of the fields has no part in it. Rows that collide are compared with the first row of their group by two pointers that skip
-and fold as they go, so that equality is certain and not just likely.
+order of the fields has no part in it. Rows that collide are compared with the first rows of their group by two pointers that skip
+and fold as they go, so that equality is certain and not just likely. Copies met in one batch collapse before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ _PRIME = (1 << 31) - 1
 _PBASE = 1_000_003
 _POINT = ord(".")
 
+#: Rows whose copies collapse before the shuffle.
+SLICE = 4096
+
 
 @lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
@@ -117,15 +120,15 @@ def record_hashes(texts: list[str | None], fields: tuple[str, ...] = FIELDS) ->
     np.cumsum(kept, out=index[1:])
     size = 1 << max(10, int(index[-1] + 1).bit_length())
     pow64, inv64, powp, invp = _power_tables(size)
-    value = code[kept].astype(np.uint64)
-    m = len(value)
-    sum64 = np.zeros(m + 1, np.uint64)
-    np.cumsum(value * pow64[:m], out=sum64[1:])
-    sump = np.zeros(m + 1, np.uint64)
-    np.cumsum(value * powp[:m] % np.uint64(_PRIME), out=sump[1:])
+    # running sums over all positions: what is skipped has code 0 and leaves the power as it is
+    value, power = code.astype(np.uint64), index[:-1]
+    sum64 = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(value * pow64[power], out=sum64[1:])
+    sump = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(value * powp[power] % np.uint64(_PRIME), out=sump[1:])
     a, b = index[begin], index[stop]
-    h64 = (sum64[b] - sum64[a]) * inv64[a]
-    hp = (sump[b] - sump[a]) % np.uint64(_PRIME) * invp[a] % np.uint64(_PRIME)
+    h64 = (sum64[stop] - sum64[begin]) * inv64[a]
+    hp = (sump[stop] - sump[begin]) % np.uint64(_PRIME) * invp[a] % np.uint64(_PRIME)
     filled = b > a
     tag = (name.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + (b - a).astype(np.uint64)
     one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -159,6 +162,44 @@ def _next(text: str, i: int, stop: int, table: np.ndarray) -> tuple[int, int]:
     return 0, stop
 
 
+#: Runs of what counts, in texts of Latin letters (below _LATIN), where the letters and numbers of a pattern are those of the table.
+_RUN = re.compile(r"[^\W_]+|(?<=[0-9])[.,](?=[0-9])")
+_LATIN = re.compile("[^\x00-\u012f\u0132-\u024f]")
+
+
+def _same_value(x: str, i_stop: int, i: int, y: str, j_stop: int, j: int, table: np.ndarray) -> bool:
+    """Two pointers over any text, sign by sign."""
+    while True:
+        c, i = _next(x, i, i_stop, table)
+        d, j = _next(y, j, j_stop, table)
+        if c != d:
+            return False
+        if not c:
+            return True
+
+
+def _same_runs(x: str, i_stop: int, i: int, y: str, j_stop: int, j: int) -> bool:
+    """Two pointers over lower-case Latin texts, from the end of one run of signs that count to the next."""
+    left, right = _RUN.finditer(x, i, i_stop), _RUN.finditer(y, j, j_stop)
+    a = b = 0  # what is left of the runs the pointers stand in ends at a_to, b_to
+    a_to = b_to = 0
+    while True:
+        if a == a_to:
+            m = next(left, None)
+            a, a_to = m.span() if m else (0, 0)
+        if b == b_to:
+            m = next(right, None)
+            b, b_to = m.span() if m else (0, 0)
+        n = min(a_to - a, b_to - b)
+        if not n:
+            return a == a_to and b == b_to
+        if n == 1 and x[a] in ",." and y[b] in ",.":
+            pass
+        elif x[a : a + n] != y[b : b + n]:
+            return False
+        a, b = a + n, b + n
+
+
 def same_record(x: str, y: str, pattern: re.Pattern | None = None) -> bool:
     """Whether two texts are one record: two pointers walk the same fields, each skipping what is only writing."""
     if x == y:
@@ -170,55 +211,88 @@ def same_record(x: str, y: str, pattern: re.Pattern | None = None) -> bool:
     a, b = filled(x), filled(y)
     if [s[0] for s in a] != [s[0] for s in b]:
         return False
-    for (_, i, i_stop), (_, j, j_stop) in zip(a, b, strict=True):
-        while True:
-            c, i = _next(x, i, i_stop, table)
-            d, j = _next(y, j, j_stop, table)
-            if c != d:
-                return False
-            if not c:
-                break
-    return True
-
-
-def canonical(text: str, fields: tuple[str, ...] = FIELDS) -> str:
-    """The record spelt out; only for rows whose hashes collide without being equal, and for tests."""
-    text, pattern, table = composed(text), key_pattern(fields), fold_table()
-    out = []
-    for name, i, stop in _segments(text, pattern):
-        code, i = _next(text, i, stop, table)
-        value = []
-        while code:
-            value.append(chr(code))
-            code, i = _next(text, i, stop, table)
-        if value:
-            out.append(f"{name}\x1f{''.join(value)}")
-    return "\x1e".join(sorted(out))
-
-
-def _hash_batches(fields: tuple[str, ...]):
+    if _LATIN.search(x) or _LATIN.search(y):
+        return all(_same_value(x, s[2], s[1], y, t[2], t[1], table) for s, t in zip(a, b, strict=True))
+    x, y = x.lower(), y.lower()
+    return all(_same_runs(x, s[2], s[1], y, t[2], t[1]) for s, t in zip(a, b, strict=True))
+
+
+class _Group:
+    """Different records of one hash, each with its smallest id."""
+
+    __slots__ = ("firsts",)
+
+    def __init__(self) -> None:
+        self.firsts: list[tuple[int, str]] = []
+
+    def keep_id(self, row_id: int, body: str, pattern: re.Pattern) -> int:
+        """The id of the record that `body` is a copy of; its own if it is the first."""
+        for first_id, first in self.firsts:
+            if same_record(first, body, pattern):
+                return first_id
+        self.firsts.append((row_id, body))
+        return row_id
+
+
+def _collapse_batches(fields: tuple[str, ...]):
+    """Rows with their hashes; copies of a record within a slice of a batch name its first row as `rep` and leave their text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = key_pattern(fields)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                b = batch.slice(i, 2048)
-                one, two, real = record_hashes(b.column("body").to_pylist(), fields)
-                keep = pa.array(real)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(one), pa.array(two), b.column("body")], ["id", "h1", "h2", "body"]).filter(keep)
+            for i in range(0, batch.num_rows, SLICE):
+                b = batch.slice(i, SLICE)
+                ids, bodies = b.column("id").to_numpy(), b.column("body").to_pylist()
+                one, two, real = record_hashes(bodies, fields)
+                order = np.lexsort((ids, two, one))
+                order = order[real[order]]
+                new = np.ones(len(order), bool)  # the first of each hash
+                new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+                many = ~new
+                many[:-1] |= ~new[1:]
+                rep = ids.copy()
+                group = _Group()
+                for k in np.flatnonzero(many).tolist():
+                    if new[k]:
+                        group = _Group()
+                    at = order[k]
+                    rep[at] = group.keep_id(int(ids[at]), bodies[at], pattern)
+                first = rep[order] == ids[order]
+                texts = [bodies[at] if f else None for at, f in zip(order.tolist(), first.tolist(), strict=True)]
+                columns = [pa.array(ids[order]), pa.array(one[order]), pa.array(two[order]), pa.array(rep[order], mask=first), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "rep", "body"])
 
     return run
 
 
-def _verify_batches(fields: tuple[str, ...]):
+def _stream_groups(fields: tuple[str, ...]):
+    """(h1, h2, id, keep_id) of rows that come sorted by h1, h2 and id; only the different records of one hash are held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = key_pattern(fields)
+        pattern, last, group = key_pattern(fields), None, _Group()
         for batch in batches:
-            pairs = zip(batch.column("body").to_pylist(), batch.column("first_body").to_pylist(), strict=True)
-            other = [None if same_record(x, y, pattern) else canonical(x, fields) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("keep_id"), pa.array(other, pa.string())], ["id", "keep_id", "other"])
+            ids, keys = batch.column("id").to_pylist(), list(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True))
+            keep = []
+            for k, row_id, body in zip(keys, ids, batch.column("body"), strict=True):
+                if k != last:
+                    last, group = k, _Group()
+                keep.append(group.keep_id(row_id, body.as_py(), pattern))
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), batch.column("id"), pa.array(keep, pa.int64())], ["h1", "h2", "id", "keep_id"])
 
     return run
 
 
+def record_groups(df: DataFrame, id_col: str, text_col: str, fields: tuple[str, ...]) -> DataFrame:
+    """(id, keep_id), without repeats, of every record: the smallest id of its group."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
+    met = rows.mapInArrow(_collapse_batches(fields), "id bigint, h1 bigint, h2 bigint, rep bigint, body string")
+    firsts = met.where("rep is null").select("h1", "h2", "id", "body").repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id")
+    firsts = cut_lineage(firsts.mapInArrow(_stream_groups(fields), "h1 bigint, h2 bigint, id bigint, keep_id bigint"))
+    copies = met.where("rep is not null").select("id", "h1", "h2", "rep")
+    copies = copies.join(firsts.select("h1", "h2", F.col("id").alias("rep"), "keep_id"), ["h1", "h2", "rep"]).select("id", "keep_id")
+    return firsts.select("id", "keep_id").unionByName(copies).distinct()
+
+
 def record_copies(df: DataFrame, id_col: str = "rec_id", text_col: str = "parcelles", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(keep_id, rec_id): one row for each copy after the first; keep_id is the smallest id of the group.
 
@@ -226,29 +300,15 @@ def record_copies(df: DataFrame, id_col: str = "rec_id", text_col: str = "parcel
     again under its id is no copy of itself. A field without content counts as missing. A comma or point between two digits is a
     decimal mark and content, the two being one sign. Only the two columns named are read.
 
-    Scale: groups are formed by an aggregation on two longs with a partial step (a group with a third of all rows shrinks to one
-    row a task), and the texts then meet the one text of their group's first row in a join with one row a key on the right, which
-    AQE's skew join splits. Rows that collide without being equal are grouped once more by their spelt-out content, so no row is lost."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
-    keyed = rows.mapInArrow(_hash_batches(fields), "id bigint, h1 bigint, h2 bigint, body string")
-    groups = keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "body")).alias("first"), F.max("id").alias("last_id")).where("first.id < last_id")
-    groups = groups.select("h1", "h2", F.col("first.id").alias("keep_id"), F.col("first.body").alias("first_body"))
-    # one join, its left side straight from the shuffle, so that AQE can split a hot group's rows
-    pairs = keyed.join(groups, ["h1", "h2"]).where("id <> keep_id").select("id", "keep_id", "body", "first_body")
-    checked = cut_lineage(pairs.mapInArrow(_verify_batches(fields), "id bigint, keep_id bigint, other string"))
-    same = checked.where("other is null").select("keep_id", "id")
-    apart = checked.where("other is not null")
-    if not apart.isEmpty():
-        again = apart.groupBy("keep_id", "other").agg(F.min("id").alias("new_keep"))
-        same = same.unionByName(apart.join(again, ["keep_id", "other"]).where("id <> new_keep").select(F.col("new_keep").alias("keep_id"), "id"))
-    return same.distinct().withColumnRenamed("id", id_col)
+    Scale: copies collapse within slices of SLICE rows where they are read, so that a group with a third of all rows comes to the
+    shuffle as one text a slice. The texts left are shuffled and sorted once by their hash and compared in one stream that holds only
+    the different records of one hash; rows that collide without being equal become records of their own. The copies of a slice find
+    their group in a join on its first row, of which none has more than SLICE."""
+    groups = record_groups(df, id_col, text_col, fields)
+    return groups.where("id <> keep_id").select("keep_id", F.col("id").alias(id_col))
 
 
 def copy_counts(df: DataFrame, id_col: str = "rec_id", text_col: str = "parcelles", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(rec_id, n_copies): one row for each distinct record, with the number of times it occurs."""
-    copies = record_copies(df, id_col, text_col, fields)
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
-    ids = rows.mapInArrow(_hash_batches(fields), "id bigint, h1 bigint, h2 bigint, body string").select("id").distinct()
-    firsts = ids.join(copies.select(F.col(id_col).alias("id")), "id", "left_anti").select("id", F.lit(1).alias("n"))
-    every = firsts.unionByName(copies.select(F.col("keep_id").alias("id"), F.lit(1).alias("n")))
-    return every.groupBy("id").agg(F.sum("n").alias("n_copies")).withColumnRenamed("id", id_col)
+    groups = record_groups(df, id_col, text_col, fields)
+    return groups.groupBy(F.col("keep_id").alias(id_col)).agg(F.count("*").alias("n_copies"))
