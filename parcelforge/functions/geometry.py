@@ -25,9 +25,15 @@ def envelope(ring: Column) -> Column:
     return F.when(F.size(ring) > 0, box)
 
 
+def coordinate_text(x: Column) -> Column:
+    """A number in full, without an exponent: the fewest digits that tell it apart, one after the point at least."""
+    plain = F.regexp_replace(x.cast("decimal(38,20)").cast("string"), r"0+$", "")
+    return F.when((x == 0) | ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)), x.cast("string")).otherwise(plain)
+
+
 def bbox_text(ring: Column) -> Column:
-    """`min_x,min_y,max_x,max_y` with five decimals."""
-    return let(envelope(ring), lambda b: F.when(b.isNotNull(), F.format_string("%.5f,%.5f,%.5f,%.5f", b["min_x"], b["min_y"], b["max_x"], b["max_y"])))
+    """`min_x,min_y,max_x,max_y` in full."""
+    return let(envelope(ring), lambda b: F.when(b.isNotNull(), F.concat_ws(",", *[coordinate_text(b[k]) for k in ("min_x", "min_y", "max_x", "max_y")])))
 
 
 def parse_bbox(text: Column) -> Column:

@@ -45,6 +45,16 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
+#: Every space and line end, for stripping; and line ends as a text editor sees them.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
+
+
+def stripped(c: Column) -> Column:
+    """Without spaces of any kind at the ends."""
+    return F.trim(c, F.lit(SPACES))
+
+
 # Fixed value: characters stripped from the ends of a label.
 LABEL_EDGES = " .,:;()[]{}\t\r\n"
 
@@ -71,6 +81,11 @@ def alnum_count(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
 
 
+def word_sign_count(c: Column) -> Column:
+    """Number of letters, digits and underscores."""
+    return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}_]", ""))
+
+
 def count_of(c: Column, part: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.binding import let
-from parcelforge.functions.text import normalize_commune, normalize_label, null_if_empty
+from parcelforge.functions.text import normalize_commune, normalize_label, null_if_empty, stripped
 from parcelforge.operators.joins import bounded
 
 # Wordings that end a name, in the order they are tried, and words that speak against a candidate.
@@ -45,16 +45,16 @@ def candidate_score(c: Column) -> Column:
 
 def same_line_candidates(lines: DataFrame) -> DataFrame:
     """(doc_id, pos, candidate) of names on the line of the word commune."""
-    rows = lines.select("doc_id", (F.col("line_no") * 2).alias("pos"), F.trim("raw").alias("raw")).where(F.upper("raw").contains("COMMUNE"))
-    rows = rows.select("doc_id", "pos", null_if_empty(F.trim(F.regexp_extract("raw", SAME_LINE, 1))).alias("found")).where("found is not null")
+    rows = lines.select("doc_id", (F.col("line_no") * 2).alias("pos"), stripped(F.col("raw")).alias("raw")).where(F.upper("raw").contains("COMMUNE"))
+    rows = rows.select("doc_id", "pos", null_if_empty(stripped(F.regexp_extract("raw", SAME_LINE, 1))).alias("found")).where("found is not null")
     return rows.select("doc_id", "pos", clean_candidate(F.col("found")).alias("candidate")).where(F.length("candidate") >= 4)
 
 
 def next_line_candidates(lines: DataFrame) -> DataFrame:
     """(doc_id, pos, candidate) of names on the first non-blank of the two lines after one that ends in `commune de`."""
     by_line = Window.partitionBy("doc_id").orderBy("line_no")
-    filled = lambda k: null_if_empty(F.trim(F.lead("raw", k).over(by_line)))
-    rows = lines.select("doc_id", "line_no", F.trim("raw").alias("raw"), F.coalesce(filled(1), filled(2)).alias("next"))
+    filled = lambda k: null_if_empty(stripped(F.lead("raw", k).over(by_line)))
+    rows = lines.select("doc_id", "line_no", stripped(F.col("raw")).alias("raw"), F.coalesce(filled(1), filled(2)).alias("next"))
     rows = rows.where(F.upper("raw").contains("COMMUNE") & F.col("raw").rlike(LINE_END) & F.col("next").isNotNull())
     return rows.select("doc_id", (F.col("line_no") * 2 + 1).alias("pos"), clean_candidate(F.col("next")).alias("candidate")).where(F.length("candidate") >= 4)
 

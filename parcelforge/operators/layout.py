@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.binding import let
-from parcelforge.functions.text import alnum_count, count_of
+from parcelforge.functions.text import LINE_ENDS, count_of, stripped, word_sign_count
 
 # Confidence floors, gaps that count as wide, and the least height tolerance.
 PAGE_CONFIDENCE, TABLE_CONFIDENCE = 25, 20
@@ -73,11 +73,11 @@ def text_score(text: Column) -> Column:
         keywords = sum((count_of(up, k) for k in KEYWORDS[1:]), count_of(up, KEYWORDS[0]))
         pairs = F.regexp_count(up, F.lit(r"\b[A-Z]{1,4}\s+[0-9]{1,4}[A-Z]?\b"))
         surfaces = F.regexp_count(up, F.lit(r"\b[0-9O]+\s*HA\b"))
-        lines = F.split(up, "\n")
+        lines = F.split(up, LINE_ENDS)
         rows = F.size(F.filter(lines, lambda x: x.rlike(r"\b[0-9]{2,4}[A-Z]?\b") & x.rlike(r"\bHA\b")))
-        filled = F.size(F.filter(lines, lambda x: F.trim(x) != ""))
+        filled = F.size(F.filter(lines, lambda x: stripped(x) != ""))
         total = rows * WEIGHTS["rows"] + pairs * WEIGHTS["pairs"] + keywords * WEIGHTS["keywords"] + surfaces * WEIGHTS["surfaces"]
-        return F.struct(total.alias("score"), rows.alias("rows"), pairs.alias("pairs"), alnum_count(s).alias("alnum"), filled.alias("filled_lines"), F.length(s).alias("size"))
+        return F.struct(total.alias("score"), rows.alias("rows"), pairs.alias("pairs"), word_sign_count(s).alias("alnum"), filled.alias("filled_lines"), F.length(s).alias("size"))
 
     return let(text, score)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.functions.text import alnum_count
+from parcelforge.functions.binding import once
+from parcelforge.functions.text import alnum_count, stripped
+from parcelforge.operators.lines import clean_text
 
 # Fixed value: a page with more letters and digits is never skipped.
 RICH_PAGE = 300
@@ -15,13 +17,6 @@ SKIP_PATTERNS = (
     "annexe 1", "annexe 2", "annexe 3", "annexe 4", "annexe 5", "legende", "limites du site",
 )
 
-_EDGES = " \t\r\n\f\v"
-
-
-def stripped(c: Column) -> Column:
-    return F.trim(c, F.lit(_EDGES))
-
-
 def ordered_join(parts: Column, order: Column, sep: str) -> Column:
     """Aggregate: strings joined in an explicit order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), parts.alias("s")))), lambda x: x["s"]), sep)
@@ -61,21 +56,37 @@ def skip_reason(text: Column, patterns: tuple[str, ...] = SKIP_PATTERNS) -> Colu
     return F.when(alnum_count(text) <= RICH_PAGE, found)
 
 
-def dual_texts(pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """(doc_id, display_text, analysis_text): for display, page text, then each table between markers, or a note on a skipped
-    page; for analysis, page text and bare tables. Analysis falls back to display when it is empty."""
+def first_readings(candidates: DataFrame, most: int = 2) -> DataFrame:
+    """(doc_id, page_no, readings): a page's first readings by pos, blank lines between."""
+    one = F.struct("pos", "text")
+    got = candidates.where("text <> ''").groupBy("doc_id", "page_no").agg(F.slice(F.array_sort(F.collect_set(one)), 1, most).alias("c"))
+    return got.select("doc_id", "page_no", F.array_join(F.transform("c", lambda x: x["text"]), "\n\n").alias("readings"))
+
+
+def dual_texts(pages: DataFrame, tables: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(doc_id, display_text, analysis_text). For display, a page's cleaned text, then each table between markers, or a note on a skipped
+    page; for analysis, its text as read, or where there is none the first two of its other readings (candidates: doc_id, page_no,
+    pos, text), then the bare tables. Analysis falls back to display when it is empty."""
     t = tables.groupBy("doc_id", "page_no").agg(
         ordered_join(F.concat(F.lit("[TABLEAU DETECTE]\n"), F.col("text"), F.lit("\n[FIN TABLEAU]")), F.col("table_no"), "\n\n").alias("marked"),
         ordered_join(F.col("text"), F.col("table_no"), "\n\n").alias("bare"),
     )
-    rows = pages.select("doc_id", "page_no", stripped(F.col("text")).alias("text"), skip_reason(F.col("text")).alias("skip")).distinct().join(t, ["doc_id", "page_no"], "left")
+    rows = pages.select("doc_id", "page_no", stripped(F.col("text")).alias("raw"), skip_reason(F.col("text")).alias("skip")).distinct().join(t, ["doc_id", "page_no"], "left")
+    if candidates is None:
+        rows = rows.withColumn("readings", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(first_readings(candidates), ["doc_id", "page_no"], "left")
     note = F.concat(page_header(F.col("page_no")), F.lit(" [PAGE IGNORÉE : « "), F.col("skip"), F.lit(" » détecté]"))
-    body = lambda tab: F.concat_ws("\n\n", F.nullif("text", F.lit("")), tab)
+    body = lambda text, tab: F.concat_ws("\n\n", F.nullif(text, F.lit("")), tab)
     headed = lambda b: F.when(b != "", F.concat(page_header(F.col("page_no")), F.lit("\n"), b))
-    rows = rows.select("doc_id", "page_no", F.when(F.col("skip").isNotNull(), note).otherwise(headed(body(F.col("marked")))).alias("shown"), F.when(F.col("skip").isNull(), headed(body(F.col("bare")))).alias("read"))
-    order = F.struct("page_no", "shown")
+    rows = once(rows, text=clean_text(F.col("raw")))
+    shown = F.when(F.col("skip").isNotNull(), note).otherwise(headed(body(F.col("text"), F.col("marked"))))
+    read = F.when(F.col("skip").isNull(), headed(body(F.coalesce(F.nullif("raw", F.lit("")), F.col("readings")), F.col("bare"))))
+    rows = rows.select("doc_id", "page_no", shown.alias("shown"), read.alias("read"))
+    order = F.struct("page_no", "shown", "read")
     docs = rows.groupBy("doc_id").agg(ordered_join(F.col("shown"), order, "\n\n").alias("display_text"), ordered_join(F.col("read"), order, "\n\n").alias("a"))
-    return docs.select("doc_id", "display_text", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("display_text")).alias("analysis_text"))
+    display, analysis = stripped(F.col("display_text")), stripped(F.col("a"))
+    return docs.select("doc_id", display.alias("display_text"), F.when(analysis != "", analysis).otherwise(display).alias("analysis_text"))
 
 
 def routed(digital: DataFrame, usable: DataFrame, scanned: DataFrame) -> DataFrame:

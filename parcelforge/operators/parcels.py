@@ -15,8 +15,8 @@ NO_TRUSTED_SECTIONS = ("HA", "CA")
 # Fixed patterns of the rules, by rule number.
 SECTION_NUMBER = r"SECTION\s+([A-Z]+)\s*[NO°º.\-\s]*([0-9]{1,4}[A-Z]?)"
 RULES = {
-    1: r"(?iu)CADASTR[ÉE]E?\s+" + SECTION_NUMBER,
-    2: r"(?iu)" + SECTION_NUMBER,
+    1: r"(?iuU)CADASTR[ÉE]E?\s+" + SECTION_NUMBER,
+    2: r"(?iuU)" + SECTION_NUMBER,
     3: r"(?iuU)PARCELL\w*\s+CADASTR\w*\s+([A-Z]{1,3})\s+([0-9]{1,4})\b",
     4: r"^\s*([A-Z]{1,3})\s+([0-9]{1,4})\s+[A-Z]",
     5: r"\b[0-9]{2,3}\s+([A-Z]{2,3})\s+([0-9]{1,4})(?![,.][0-9])",

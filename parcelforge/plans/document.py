@@ -27,9 +27,12 @@ def document_records(deeds: DataFrame, communes: DataFrame, reference: DataFrame
     names = C.match_names(raw, communes.where(F.col("dep").isin(*C.DEPARTMENTS)))
     named = cut_lineage(raw.join(names, "candidate", "left").select("doc_id", F.coalesce("nom", "candidate").alias("commune"), F.col("code").alias("code_insee")))
     parcels = P.document_parcels(texts).join(named.select("doc_id", "code_insee"), "doc_id", "left")
-    kept = V.confirmed_or_all(V.verify(parcels, V.reference_features(reference)))
+    checked = V.verify(parcels, V.reference_features(reference))
     one = F.struct("ord", "section", "number", "ign_verified", "idu", "nom_com", "contenance_ha", "bbox")
-    nested = kept.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda p: p.dropFields("ord")).alias("cadastral_parcels"))
+    # the parcels of a record stand in one row anyway, so the confirmed ones are chosen there
+    nested = checked.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("ps"))
+    kept = F.when(F.exists("ps", lambda p: p["ign_verified"]), F.filter("ps", lambda p: p["ign_verified"])).otherwise(F.col("ps"))
+    nested = nested.select("doc_id", F.transform(kept, lambda p: p.dropFields("ord")).alias("cadastral_parcels"))
     out = docs.join(named, "doc_id", "left").join(nested, "doc_id", "left")
     empty = F.array().cast(nested.schema["cadastral_parcels"].dataType)
     return out.select("doc_id", "site_code", "document_type", "document_date", "source_filename", "document_type_label", "commune", "code_insee", F.coalesce("cadastral_parcels", empty).alias("cadastral_parcels"))

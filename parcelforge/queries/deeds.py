@@ -38,11 +38,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # --- SQL shared by the twins ---------------------------------------------------------------------------------------------------
 DEEDS, WORDS, BOXES, TABLES, READINGS = map(D.duck, (D.DEED_TEXTS, D.WORDS, D.BOXES, D.TABLES, D.READINGS))
 PAGE_TABLES, SKIPPABLE, BBOX_TEXTS = map(D.duck, (D.PAGE_TABLES, D.SKIPPABLE, D.BBOX_TEXTS))
+# spaces of any kind: as signs of a class, and as characters to strip
+SP = r"\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+STRIP = " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def sql_strip(x: str) -> str:
+    return f"trim({x}, {STRIP})"
+
+
+def sql_word_signs(x: str) -> str:
+    return rf"length(regexp_replace({x}, '[^\pL\pN_]', '', 'g'))"
+
+
 EDGES = "' .,:;()[]{}' || chr(9) || chr(10) || chr(13)"
 
 
 def sql_label(x: str) -> str:
-    return rf"upper(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g'), {EDGES}), '\s*-\s*', '-', 'g'))"
+    return rf"upper(regexp_replace(trim(regexp_replace({x}, '[{SP}]+', ' ', 'g'), {EDGES}), '\s*-\s*', '-', 'g'))"
 
 
 def sql_match(x: str) -> str:
@@ -85,7 +99,7 @@ context AS (
   SELECT *, ctx = 'on' AND event IS NULL AND (in_block OR trim(norm) <> '') AS scanned FROM (
     SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), 'off') AS ctx FROM events) e)"""
 
-SECNUM = r"SECTION\s+([A-Z]+)\s*[NO°º.\-\s]*([0-9]{1,4}[A-Z]?)"
+SECNUM = rf"SECTION[{SP}]+([A-Z]+)[{SP}]*[NO°º.\-{SP}]*([0-9]{{1,4}}[A-Z]?)"
 
 
 def sql_pairs(name: str, rule: int, source: str, expr: str, pattern: str, trusted: bool, flags: str = "", where: str = "true", line: str = "0", first: bool = False) -> str:
@@ -104,7 +118,7 @@ def sql_list(name: str, rule: int, sep: str, trusted: bool) -> str:
 
 
 MARKED = r"regexp_replace(norm, '([,.][0-9])', '~\1', 'g')"
-E1 = sql_pairs("e1", 1, f"{DEEDS} d", "text", r"CADASTR[ÉEée]E?\s+" + SECNUM, False, "i")
+E1 = sql_pairs("e1", 1, f"{DEEDS} d", "text", rf"CADASTR[ÉEée]E?[{SP}]+" + SECNUM, False, "i")
 E2 = sql_pairs("e2", 2, f"{DEEDS} d", "text", SECNUM, False, "i")
 E3 = sql_pairs("e3", 3, f"{DEEDS} d", "text", r"PARCELL[\pL\pN_]*\s+CADASTR[\pL\pN_]*\s+([A-Z]{1,3})\s+([0-9]{1,4})\b", True, "i")
 E4 = sql_pairs("e4", 4, "context", "norm", r"^\s*([A-Z]{1,3})\s+([0-9]{1,4})\s+[A-Z]", True, where="scanned", line="line_no", first=True)
@@ -261,20 +275,20 @@ def line_context(spark: SparkSession, d: str) -> DataFrame:
     return L.line_context(_lines(spark, d)).select("doc_id", "line_no", "norm", "in_block", "event", "ctx", "scanned")
 
 
-_PAGE_LINES = """pl AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, raw FROM (
-  SELECT doc_id * 1000 + page_no AS doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT DISTINCT doc_id, page_no, text FROM doc_pages WHERE text IS NOT NULL) p) s)"""
+_PAGE_LINES = f"""pl AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, raw FROM (
+  SELECT doc_id * 1000 + page_no AS doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT DISTINCT doc_id, page_no, text FROM {SKIPPABLE} sp WHERE text IS NOT NULL) p) s)"""
 
 
 @query(
     f"""WITH {_PAGE_LINES},
-s AS (SELECT *, length(trim(raw)) BETWEEN 1 AND 3 AS short FROM pl),
+s AS (SELECT *, length({sql_strip("raw")}) BETWEEN 1 AND 3 AS short, {sql_strip("raw")} = '' AS blank FROM pl),
 g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - row_number() OVER (PARTITION BY doc_id, short ORDER BY line_no) AS island FROM s),
 r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, short, island) AS run FROM g),
-k AS (SELECT doc_id, line_no, raw FROM r WHERE NOT (short AND run >= 3) AND (trim(raw) = '' OR regexp_matches(raw, '[\\pL\\pN]')))
-SELECT doc_id, line_no, raw FROM (SELECT *, coalesce(trim(lag(raw) OVER (PARTITION BY doc_id ORDER BY line_no)) = '', false) AS after_blank FROM k) x WHERE NOT (trim(raw) = '' AND after_blank)"""
+k AS (SELECT doc_id, line_no, raw, blank FROM r WHERE NOT (short AND run >= 3) AND (blank OR regexp_matches(raw, '[\\pL\\pN]')))
+SELECT doc_id, line_no, CASE WHEN blank THEN '' ELSE raw END AS raw FROM (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS after_blank FROM k) x WHERE NOT (blank AND after_blank)"""
 )
 def ocr_clean(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "doc_pages", "doc_id", "page_no", "text").where("text is not null").distinct()
+    pages = D.derive(spark, d, D.SKIPPABLE).where("text is not null").select("doc_id", "page_no", "text").distinct()
     rows = pages.select((F.col("doc_id") * 1000 + F.col("page_no")).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     return L.clean_lines(rows)
 
@@ -291,10 +305,10 @@ def sql_clean(x: str) -> str:
 
 
 SAME = rf"""same AS (SELECT doc_id, CAST(line_no * 2 AS INT) AS pos, candidate FROM (
-  SELECT doc_id, line_no, {sql_clean("found")} AS candidate FROM (SELECT doc_id, line_no, trim(regexp_extract(trim(raw), 'COMMUNE\s+D(?:E|'')?\s+(.*)$', 1, 'i')) AS found FROM lines WHERE contains(upper(raw), 'COMMUNE')) f
+  SELECT doc_id, line_no, {sql_clean("found")} AS candidate FROM (SELECT doc_id, line_no, trim(regexp_extract({sql_strip("raw")}, 'COMMUNE\s+D(?:E|'')?\s+(.*)$', 1, 'i')) AS found FROM lines WHERE contains(upper(raw), 'COMMUNE')) f
   WHERE found <> '') c WHERE length(candidate) >= 4)"""
 NEXT = rf"""nxt AS (SELECT doc_id, CAST(line_no * 2 + 1 AS INT) AS pos, candidate FROM (
-  SELECT doc_id, line_no, {sql_clean("follows")} AS candidate FROM (SELECT doc_id, line_no, trim(raw) AS raw, coalesce(nullif(trim(lead(raw, 1) OVER w), ''), nullif(trim(lead(raw, 2) OVER w), '')) AS follows
+  SELECT doc_id, line_no, {sql_clean("follows")} AS candidate FROM (SELECT doc_id, line_no, {sql_strip("raw")} AS raw, coalesce(nullif({sql_strip("lead(raw, 1) OVER w")}, ''), nullif({sql_strip("lead(raw, 2) OVER w")}, '')) AS follows
     FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) f
   WHERE regexp_matches(raw, 'COMMUNE\s+D(?:E|'')?\s*$', 'i') AND follows IS NOT NULL) c WHERE length(candidate) >= 4)"""
 
@@ -384,7 +398,7 @@ def _pad(x: str, n: int) -> str:
 RING = """CASE geometry."type" WHEN 'Polygon' THEN CAST(geometry.coordinates::JSON->0 AS DOUBLE[][]) WHEN 'MultiPolygon' THEN CAST(geometry.coordinates::JSON->0->0 AS DOUBLE[][]) END"""
 _LO = lambda k: f"list_min(list_transform(ring, lambda p: p[{k}]))"
 _HI = lambda k: f"list_max(list_transform(ring, lambda p: p[{k}]))"
-_BBOX = f"CASE WHEN len(ring) > 0 THEN printf('%.5f,%.5f,%.5f,%.5f', {_LO(1)}, {_LO(2)}, {_HI(1)}, {_HI(2)}) END"
+_BBOX = f"CASE WHEN len(ring) > 0 THEN concat_ws(',', CAST({_LO(1)} AS VARCHAR), CAST({_LO(2)} AS VARCHAR), CAST({_HI(1)} AS VARCHAR), CAST({_HI(2)} AS VARCHAR)) END"
 FEATURES = f"""features AS (SELECT * EXCLUDE (r, until) FROM (
   SELECT *, row_number() OVER (PARTITION BY p_code, p_section, p_numero ORDER BY loaded_at, until, idu, nom_com, contenance NULLS FIRST, bbox NULLS FIRST) AS r FROM (
     SELECT {_pad("upper(trim(code_insee))", 5)} AS p_code, {_pad("upper(trim(section))", 2)} AS p_section, {_pad("trim(numero)", 4)} AS p_numero, loaded_at, coalesce(deleted_at, TIMESTAMP '9999-12-31') AS until,
@@ -638,26 +652,26 @@ def layout_table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- pages --------------------------------------------------------------------------------------------------------------------------
-_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+_WS = STRIP
 
 
 def sql_score(x: str) -> str:
     u = f"upper({x})"
     kw = " + ".join(f"(length({u}) - length(replace({u}, '{k}', ''))) // {len(k)}" for k in Y.KEYWORDS)
-    rows = rf"len(list_filter(string_split({u}, chr(10)), lambda l: regexp_matches(l, '\b[0-9]{{2,4}}[A-Z]?\b') AND regexp_matches(l, '\bHA\b')))"
+    rows = rf"len(list_filter(string_split_regex({u}, '{ENDS}'), lambda l: regexp_matches(l, '\b[0-9]{{2,4}}[A-Z]?\b') AND regexp_matches(l, '\bHA\b')))"
     pairs = rf"len(regexp_extract_all({u}, '\b[A-Z]{{1,4}}\s+[0-9]{{1,4}}[A-Z]?\b'))"
     surf = rf"len(regexp_extract_all({u}, '\b[0-9O]+\s*HA\b'))"
     return f"30 * {rows} + 12 * {pairs} + 3 * ({kw}) + 2 * {surf}"
 
 
-SCORED = f"""scored AS (SELECT *, {sql_score("strip_accents(text)")} AS score, {sql_alnum("text")} AS alnum FROM (SELECT doc_id, page_no, text, min(pos) AS pos FROM {READINGS} r GROUP BY ALL) x)"""
+SCORED = f"""scored AS (SELECT *, {sql_score("strip_accents(text)")} AS score, {sql_word_signs("text")} AS alnum FROM (SELECT doc_id, page_no, text, min(pos) AS pos FROM {READINGS} r GROUP BY ALL) x)"""
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
     return D.derive(spark, d, D.READINGS)
 
 
-@query(f"SELECT doc_id, page_no, pos, CAST({sql_score('strip_accents(text)')} AS INT) AS score, CAST({sql_alnum('text')} AS INT) AS alnum FROM {READINGS} r")
+@query(f"SELECT doc_id, page_no, pos, CAST({sql_score('strip_accents(text)')} AS INT) AS score, CAST({sql_word_signs('text')} AS INT) AS alnum FROM {READINGS} r")
 def ocr_score(spark: SparkSession, d: str) -> DataFrame:
     # accents are dropped on both sides: the two engines see word boundaries beside them differently
     r = _readings(spark, d)
@@ -667,8 +681,8 @@ def ocr_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH s AS (SELECT *, upper(text) AS u FROM (SELECT doc_id, page_no, strip_accents(text) AS text, min(pos) AS pos FROM {READINGS} r GROUP BY ALL) x),
-k AS (SELECT *, {sql_score("text")} AS score, len(list_filter(string_split(u, chr(10)), lambda l: regexp_matches(l, '\\b[0-9]{{2,4}}[A-Z]?\\b') AND regexp_matches(l, '\\bHA\\b'))) AS rws,
-  len(regexp_extract_all(u, '\\b[A-Z]{{1,4}}\\s+[0-9]{{1,4}}[A-Z]?\\b')) AS prs, {sql_alnum("text")} AS alnum, len(list_filter(string_split(u, chr(10)), lambda l: trim(l) <> '')) AS filled, length(text) AS size FROM s)
+k AS (SELECT *, {sql_score("text")} AS score, len(list_filter(string_split_regex(u, '{ENDS}'), lambda l: regexp_matches(l, '\\b[0-9]{{2,4}}[A-Z]?\\b') AND regexp_matches(l, '\\bHA\\b'))) AS rws,
+  len(regexp_extract_all(u, '\\b[A-Z]{{1,4}}\\s+[0-9]{{1,4}}[A-Z]?\\b')) AS prs, {sql_word_signs("text")} AS alnum, len(list_filter(string_split_regex(u, '{ENDS}'), lambda l: {sql_strip("l")} <> '')) AS filled, length(text) AS size FROM s)
 SELECT doc_id, page_no, pos, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY score DESC, rws DESC, prs DESC, alnum DESC, filled DESC, size DESC, pos) AS r FROM k) x WHERE r = 1"""
 )
 def ocr_best(spark: SparkSession, d: str) -> DataFrame:
@@ -722,17 +736,29 @@ def skip_patterns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(G.load_skip_patterns(["# texts of skipped pages", "", *(f"  {p} " for p in G.SKIP_PATTERNS)]), "pattern_idx int, pattern string")
 
 
-_DUAL = f"""WITH pages AS (SELECT doc_id, page_no, trim(text, {_WS}) AS text, {_SKIP} AS skip FROM {SKIPPABLE} s),
+# the cleaned text of a page: its lines numbered, those of bursts and of signs alone gone, blanks after blanks gone
+_CLEANED = f"""raws AS (SELECT DISTINCT doc_id, page_no, trim(text, {_WS}) AS raw FROM {SKIPPABLE} s),
+l0 AS (SELECT doc_id, page_no, raw, unnest(string_split(raw, chr(10))) AS ln, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM raws WHERE raw IS NOT NULL),
+l1 AS (SELECT *, length({sql_strip("ln")}) BETWEEN 1 AND 3 AS short, {sql_strip("ln")} = '' AS blank FROM l0),
+l2 AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, page_no, raw, short ORDER BY i) AS island FROM l1),
+l3 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, raw, short, island) AS run FROM l2) x WHERE NOT (short AND run >= 3) AND (blank OR regexp_matches(ln, '[\\pL\\pN]'))),
+l4 AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id, page_no, raw ORDER BY i), false) AS after_blank FROM l3),
+cleaned AS (SELECT doc_id, page_no, raw, string_agg(CASE WHEN blank THEN '' ELSE ln END, chr(10) ORDER BY i) AS text FROM l4 WHERE NOT (blank AND after_blank) GROUP BY ALL)"""
+_READ_TWO = f"""two AS (SELECT doc_id, page_no, string_agg(text, chr(10) || chr(10) ORDER BY pos, text) AS readings FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos, text) AS r FROM (SELECT DISTINCT * FROM {READINGS} r WHERE text <> '') x) y WHERE r <= 2 GROUP BY ALL)"""
+_DUAL = f"""WITH {_CLEANED}, {_READ_TWO}, pages AS (SELECT DISTINCT doc_id, page_no, trim(text, {_WS}) AS raw, {_SKIP} AS skip FROM {SKIPPABLE} s),
 t AS (SELECT doc_id, page_no, string_agg('[TABLEAU DETECTE]' || chr(10) || text || chr(10) || '[FIN TABLEAU]', chr(10) || chr(10) ORDER BY table_no) AS marked, string_agg(text, chr(10) || chr(10) ORDER BY table_no) AS bare FROM {PAGE_TABLES} q GROUP BY ALL),
-b AS (SELECT pages.*, '--- Page ' || CAST(page_no AS VARCHAR) || ' ---' AS head, concat_ws(chr(10) || chr(10), nullif(text, ''), marked) AS shown, concat_ws(chr(10) || chr(10), nullif(text, ''), bare) AS rd FROM pages LEFT JOIN t USING (doc_id, page_no)),
+b AS (SELECT p.doc_id, p.page_no, skip, '--- Page ' || CAST(p.page_no AS VARCHAR) || ' ---' AS head, concat_ws(chr(10) || chr(10), nullif(c.text, ''), marked) AS shown, concat_ws(chr(10) || chr(10), coalesce(nullif(p.raw, ''), two.readings), bare) AS rd
+  FROM pages p LEFT JOIN t USING (doc_id, page_no) LEFT JOIN two USING (doc_id, page_no) LEFT JOIN cleaned c ON c.doc_id = p.doc_id AND c.page_no = p.page_no AND c.raw = p.raw),
 d AS (SELECT doc_id, page_no, CASE WHEN skip IS NOT NULL THEN head || ' [PAGE IGNORÉE : « ' || skip || ' » détecté]' WHEN shown <> '' THEN head || chr(10) || shown END AS shown,
-  CASE WHEN skip IS NULL AND rd <> '' THEN head || chr(10) || rd END AS rd FROM b)
-SELECT doc_id, coalesce(string_agg(shown, chr(10) || chr(10) ORDER BY page_no, shown), '') AS display_text, coalesce(string_agg(rd, chr(10) || chr(10) ORDER BY page_no, shown), string_agg(shown, chr(10) || chr(10) ORDER BY page_no, shown), '') AS analysis_text FROM d GROUP BY doc_id"""
+  CASE WHEN skip IS NULL AND rd <> '' THEN head || chr(10) || rd END AS rd FROM b),
+j AS (SELECT doc_id, trim(coalesce(string_agg(shown, chr(10) || chr(10) ORDER BY page_no, shown, rd), ''), {_WS}) AS display_text, trim(coalesce(string_agg(rd, chr(10) || chr(10) ORDER BY page_no, shown, rd), ''), {_WS}) AS a FROM d GROUP BY doc_id)
+SELECT doc_id, display_text, CASE WHEN a <> '' THEN a ELSE display_text END AS analysis_text FROM j"""
 
 
 @query(_DUAL)
 def dual_text_assemble(spark: SparkSession, d: str) -> DataFrame:
-    return G.dual_texts(D.derive(spark, d, D.SKIPPABLE), D.derive(spark, d, D.PAGE_TABLES))
+    return G.dual_texts(D.derive(spark, d, D.SKIPPABLE), D.derive(spark, d, D.PAGE_TABLES), _readings(spark, d))
 
 
 @query(

@@ -20,8 +20,8 @@ SELECT doc_id, filename, coalesce(text, '') || CASE doc_id % 8
   WHEN 2 THEN {_text("'[TABLEAU DETECTE]'", f"'078 ZA ' || {_K} || ' LA FONTAINE 15,6790 ha'", f"'B ' || {_K2} || ' PRE'", f"'079 AV ' || {_K2} || ',3500 ha'", "'[FIN TABLEAU]'", "'ZY 11 APRES'")}
   WHEN 3 THEN {_text(f"'les parcelles ZA' || {_K} || ', ZB' || {_K2} || ' et BS55 ainsi que A1 / A2'")}
   WHEN 4 THEN {_text(f"'soit B' || {_K} || ' / B' || {_K2} || ' / ZS10 et ZS19'")}
-  WHEN 5 THEN {_text(f"'parcelle cadastrée A ' || {_K} || ', et parcelles cadastrées ZD ' || {_K2}")}
-  WHEN 6 THEN {_text("'LA COMMUNE DE'", "'  '", "'Ormoy-sur-Aube - chef-lieu'", "'FIGURANT AU CADASTRE'", f"'C ' || {_K} || ' TERRE'", "''", "'D 12 ENCORE'", "''", "''", "'E 13 PERDU'")}
+  WHEN 5 THEN {_text(f"'parcelle cadastrée A ' || {_K} || ', et parcelles cadastrées ZD ' || {_K2}", f"'Section' || chr(160) || 'ZB' || chr(160) || 'n° ' || {_K2}")}
+  WHEN 6 THEN {_text("'LA COMMUNE DE'", "' ' || chr(9) || chr(160)", "'Ormoy-sur-Aube - chef-lieu'", "'FIGURANT AU CADASTRE'", f"'C ' || {_K} || ' TERRE'", "''", "'D 12 ENCORE'", "''", "''", "'E 13 PERDU'")}
   WHEN 7 THEN {_text("'BAIL'", "'  EMPHYTEOTIQUE AU CONSERVATOIRE'", "'Article 2 - Références cadastrales'", f"'ZC ' || {_K} || ' PRES'", "'ARTICLE 3 FIN'", "'ZE 14 NON'", "'[TABLEAU DETECTE]'", "'x'", "'..'", "'[FIN TABLEAU]'")}
   ELSE '' END AS text
 FROM {{deeds}}
@@ -55,13 +55,14 @@ FROM {orders}
 READINGS = """
 SELECT doc_id, page_no, 0 AS pos, text FROM {doc_pages} WHERE text IS NOT NULL
 UNION SELECT doc_id, page_no, 1 AS pos, upper(text) AS text FROM {doc_pages} WHERE text IS NOT NULL
-UNION SELECT doc_id, page_no, 2 AS pos, text || chr(10) || 'Section ZA 12 3 ha 40' AS text FROM {doc_pages} WHERE text IS NOT NULL AND doc_id % 3 = 0
+UNION SELECT doc_id, page_no, 2 AS pos, text || chr(13) || 'Section ZA_12 12 3 ha 40' || chr(13) || '___' AS text FROM {doc_pages} WHERE text IS NOT NULL AND doc_id % 3 = 0
 """
 
 # Tables on the pages of deeds, and pages with the wording of some that are skipped.
 PAGE_TABLES = "SELECT DISTINCT doc_id, page_no, 1 AS table_no, 'ZA ' || CAST(doc_id % 90 + 1 AS STRING) || ' 1 ha' AS text FROM {doc_pages} WHERE (doc_id + page_no) % 4 = 0"
 SKIPPABLE = """
-SELECT DISTINCT doc_id, page_no, n_images, CASE WHEN (doc_id + page_no) % 7 = 0 THEN 'ANNEXE 1' || chr(10) || 'Plan de situation' WHEN (doc_id + page_no) % 11 = 0 THEN 'Legende' || coalesce(text, '') ELSE text END AS text
+SELECT DISTINCT doc_id, page_no, n_images, CASE WHEN (doc_id + page_no) % 7 = 0 THEN 'ANNEXE 1' || chr(10) || 'Plan de situation' WHEN (doc_id + page_no) % 11 = 0 THEN 'Legende' || coalesce(text, '') 
+  WHEN (doc_id + page_no) % 5 = 0 THEN '_ 1' || chr(10) || chr(9) || chr(10) || '--' || chr(160) || chr(10) || coalesce(text, '') || chr(10) || 'ab' || chr(10) || 'c' || chr(9) || chr(10) || chr(160) || 'de' ELSE text END AS text
 FROM {doc_pages}
 """
 

@@ -245,5 +245,51 @@ def test_record(spark):
     text = "BAIL\n EMPHYTÉOTIQUE\nLA COMMUNE DE ORMOY SUR AUBE\nCadastrée Section V N° 12. Section ZB n° 9"
     r = {x.doc_id: x for x in document_records(docs(spark, text, None, filename="x.pdf"), c, ref).collect()}
     assert (r[0].commune, r[0].code_insee, r[0].document_type, r[0].document_type_label) == ("Ormoy-sur-Aube", "52370", "BE", "BAIL EMPHYTEOTIQUE")
-    assert [tuple(p) for p in r[0].cadastral_parcels] == [("V", "12", True, "523700000V0012", "Ormoy", 1.2345, "1.00000,2.00000,3.00000,4.50000")]
+    assert [tuple(p) for p in r[0].cadastral_parcels] == [("V", "12", True, "523700000V0012", "Ormoy", 1.2345, "1.0,2.0,3.0,4.5")]
     assert r[1].cadastral_parcels == [] and r[1].commune is None
+
+
+def test_spaces_of_any_kind(spark):
+    """No-break spaces separate in the section rules; a line of tabs is blank to the commune rule and to cleaning."""
+    nb = "\u00a0"
+    df = spark.createDataFrame([(1, f"Section{nb}ZB{nb}12"), (2, f"cadastrée{nb}Section{nb}AB{nb}n°{nb}7")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.section, r.number) for r in P.document_parcels(df).collect()}
+    assert got == {(1, "ZB", "12"), (2, "AB", "7")}
+    text = spark.createDataFrame([(1, f"LA COMMUNE DE\n \t{nb}\nOrmoy-sur-Aube")], "doc_id bigint, text string")
+    assert [r.candidate for r in C.document_communes(L.text_lines(text)).collect()] == ["ORMOY-SUR-AUBE"]
+
+
+CLEANED = {
+    "a\nb\t\n\u00a0cd\nDu texte": "Du texte", "a\nb\nDu texte": "a\nb\nDu texte", "Du texte\n \t\n\n\u00a0\nfin": "Du texte\n\nfin", "--\nDu texte\n..": "Du texte", "": "", "x\ny\nz": "",
+    "Un\nde\n\nla\nle mot\na\nb\nc\nd\nfin du texte": "Un\nde\n\nla\nle mot\nfin du texte",
+}
+
+
+def test_clean_text(spark):
+    df = spark.createDataFrame(list(enumerate(CLEANED)), "doc_id int, text string")
+    got = {r.text: r.c for r in df.select("text", L.clean_text(F.col("text")).alias("c")).collect()}
+    assert got == CLEANED
+    rows = L.clean_lines(df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))).orderBy("doc_id", "line_no").collect()
+    texts = list(CLEANED)
+    for i, t in enumerate(texts):
+        assert "\n".join(r.raw for r in rows if r.doc_id == i) == CLEANED[t]
+
+
+def test_display_is_cleaned_and_analysis_is_raw(spark):
+    pages = spark.createDataFrame([(1, 1, "--\nDu texte"), (1, 2, None), (1, 3, "...")], "doc_id bigint, page_no int, text string")
+    tables = spark.createDataFrame([(1, 1, 1, "ZA 1")], "doc_id bigint, page_no int, table_no int, text string")
+    other = spark.createDataFrame([(1, 2, 0, "un"), (1, 2, 1, "deux"), (1, 2, 2, "trois"), (1, 3, 0, "quatre")], "doc_id bigint, page_no int, pos int, text string")
+    r = G.dual_texts(pages, tables, other).first()
+    assert r.display_text == "--- Page 1 ---\nDu texte\n\n[TABLEAU DETECTE]\nZA 1\n[FIN TABLEAU]"
+    assert r.analysis_text == "--- Page 1 ---\n--\nDu texte\n\nZA 1\n\n--- Page 2 ---\nun\n\ndeux\n\n--- Page 3 ---\n..."
+
+
+def test_coordinates_in_full(spark):
+    values = [4.1234567, 48.0, 0.00052, -0.0001234567, 0.0, 12345678.25]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "x double").select(geometry.coordinate_text(F.col("x")).alias("t")).collect()]
+    assert got == ["4.1234567", "48.0", "0.00052", "-0.0001234567", "0.0", "12345678.25"]
+
+
+def test_word_signs_and_line_ends(spark):
+    s = spark.createDataFrame([("a_b\r\x0b c\u2028\u00a0\u2028d",)], "t string").select(Y.text_score(F.col("t")).alias("s")).first().s
+    assert (s.alnum, s.filled_lines) == (5, 3)
