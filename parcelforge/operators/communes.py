@@ -110,6 +110,11 @@ def commune_list_collated(communes: DataFrame, departments: tuple[str, ...] = DE
     return communes.where(F.col("dep").isin(*departments)).select("nom", "code", "dep", (F.row_number().over(order) - 1).alias("ord"))
 
 
+def commune_details(communes: DataFrame, asked: DataFrame, code: str = "code") -> DataFrame:
+    """The list's entries, with all their columns, whose code is asked for; codes that the list lacks give none."""
+    return communes.join(asked.select(F.col(code).alias("code")), "code", "left_semi")
+
+
 def commune_label(nom: Column, dep: Column, code: Column) -> Column:
     """`Name (DD)`; without a department the first two characters of the code stand for it."""
     return F.concat(nom, F.lit(" ("), F.coalesce(null_if_empty(dep), F.substring(code, 1, 2)), F.lit(")"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelforge.functions import files, geometry, keys, text
 from parcelforge.operators import boxes as B
 from parcelforge.operators import communes as C
+from parcelforge.operators import features as N
 from parcelforge.operators import layout as Y
 from parcelforge.operators import lines as L
 from parcelforge.operators import pages as G
@@ -379,10 +380,11 @@ def commune_list_collated(spark: SparkSession, d: str) -> DataFrame:
 del ORACLES["commune_list_collated"]  # the French order has no twin in the other engine; a test checks it on fixtures
 
 
-@query("SELECT code, nom, dep FROM communes WHERE code = (SELECT min(code) FROM communes)")
+@query("SELECT c.code, c.nom, c.dep FROM communes c WHERE c.code IN (SELECT code_insee FROM parcel_ref)")
 def commune_details(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "communes", "code", "nom", "dep")
-    return c.join(c.agg(F.min("code").alias("code")), "code", "left_semi")
+    """The entries of the communes that parcels name."""
+    asked = table(spark, d, "parcel_ref", "code_insee").select("code_insee").distinct()
+    return C.commune_details(table(spark, d, "communes", "code", "nom", "dep"), asked, "code_insee")
 
 
 @query("SELECT code, nom || ' (' || coalesce(nullif(dep, ''), left(code, 2)) || ')' AS label FROM communes")
@@ -556,27 +558,51 @@ def parcel_bbox_scan(spark: SparkSession, d: str) -> DataFrame:
     return r.where(meets).select("idu", "code_parcelle", "code_insee")
 
 
-_HOT = "SELECT code_insee FROM parcel_ref GROUP BY code_insee ORDER BY count(*) DESC, code_insee LIMIT 1"
-
-
 @query(
-    f"""WITH r AS (SELECT *, {_LO(1)} AS x0, {_LO(2)} AS y0, {_HI(1)} AS x1, {_HI(2)} AS y1 FROM (SELECT *, {RING} AS ring FROM parcel_ref) p),
-c AS (SELECT min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM r WHERE code_insee = ({_HOT}))
-SELECT idu, code_parcelle, code_insee FROM r, c WHERE x0 <= c.c AND x1 >= c.a AND y0 <= c.d AND y1 >= c.b AND (coalesce(code_insee, '') = '' OR code_insee = ({_HOT}))"""
+    f"""SELECT idu, contenance FROM (SELECT *, {_LO(1)} AS x0, {_LO(2)} AS y0, {_HI(1)} AS x1, {_HI(2)} AS y1 FROM (SELECT *, {RING} AS ring FROM parcel_ref) p) r
+WHERE x0 <= {_SCAN[2]} AND x1 >= {_SCAN[0]} AND y0 <= {_SCAN[3]} AND y1 >= {_SCAN[1]} ORDER BY idu NULLS FIRST, code_parcelle NULLS FIRST, contenance NULLS FIRST LIMIT 100"""
 )
+def parcel_bbox_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred parcels that meet a box, two columns of them: the number asked for is the feature."""
+    rows = N.with_envelope(table(spark, d, "parcel_ref", "idu", "code_parcelle", "contenance", "geometry"))
+    return N.in_box(rows, _SCAN, ("idu", "contenance"), 100, ("idu", "code_parcelle", "contenance"))
+
+
+# every commune's envelope and the parcels in it that are its own or name none
+_COMMUNE = f"""r AS (SELECT *, {_LO(1)} AS x0, {_LO(2)} AS y0, {_HI(1)} AS x1, {_HI(2)} AS y1 FROM (SELECT *, {RING} AS ring FROM parcel_ref) p),
+c AS (SELECT min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM r WHERE code_insee = (SELECT max(code_insee) FROM parcel_ref)),
+m AS (SELECT idu, code_parcelle, code_insee FROM r, c WHERE x0 <= c.c AND x1 >= c.a AND y0 <= c.d AND y1 >= c.b AND (coalesce(code_insee, '') = '' OR code_insee = (SELECT max(code_insee) FROM parcel_ref)))"""
+
+
+def _last_commune(spark: SparkSession, d: str) -> str:
+    """The greatest commune code, the argument of a caller; read from the table's statistics."""
+    return table(spark, d, "parcel_ref", "code_insee").agg(F.max("code_insee")).first()[0]
+
+
+@query(f"WITH {_COMMUNE} SELECT * FROM m")
 def parcels_by_commune(spark: SparkSession, d: str) -> DataFrame:
-    """Parcels of the commune with most parcels: its envelope first, then membership (a missing commune passes)."""
-    r = _rings(spark, d).withColumn("e", geometry.envelope(F.col("ring")))
-    code = r.groupBy("code_insee").count().orderBy(F.desc("count"), "code_insee").first()["code_insee"]
-    box = r.where(F.col("code_insee") == code).agg(F.min("e.min_x"), F.min("e.min_y"), F.max("e.max_x"), F.max("e.max_y")).first()
-    meets = geometry.boxes_meet(F.col("e.min_x"), F.col("e.min_y"), F.col("e.max_x"), F.col("e.max_y"), *map(F.lit, box))
-    return r.where(meets & ((F.coalesce("code_insee", F.lit("")) == "") | (F.col("code_insee") == code))).select("idu", "code_parcelle", "code_insee")
+    """All parcels of one commune."""
+    rows = N.with_envelope(table(spark, d, "parcel_ref", "idu", "code_parcelle", "code_insee", "geometry"))
+    return N.of_commune(rows, _last_commune(spark, d), ("idu", "code_parcelle", "code_insee"), None)
+
 
+@query(f"WITH {_COMMUNE} SELECT * FROM m ORDER BY idu NULLS FIRST, code_parcelle NULLS FIRST, code_insee NULLS FIRST LIMIT 3")
+def parcels_by_commune_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first three parcels of one commune: the number asked for is the feature."""
+    rows = N.with_envelope(table(spark, d, "parcel_ref", "idu", "code_parcelle", "code_insee", "geometry"))
+    return N.of_commune(rows, _last_commune(spark, d), ("idu", "code_parcelle", "code_insee"), 3, ("idu", "code_parcelle", "code_insee"))
 
-@query("SELECT verif_id, ord, source FROM verify_parcelle WHERE source = 'notaire' AND ord BETWEEN 2 AND 5")
+
+@query("SELECT verif_id, ord, source FROM verify_parcelle WHERE source = 'notaire'")
 def layer_filter(spark: SparkSession, d: str) -> DataFrame:
-    """A layer filtered by column predicates, which reach the scan."""
-    return table(spark, d, "verify_parcelle", "verif_id", "ord", "source").where((F.col("source") == F.lit("notaire")) & F.col("ord").between(2, 5))
+    """A layer filtered by the value of a column, which reaches the scan."""
+    return N.layer(table(spark, d, "verify_parcelle"), {"source": "notaire"}, columns=("verif_id", "ord", "source"), most=None)
+
+
+@query("SELECT verif_id, ord, source FROM verify_parcelle WHERE source = 'notaire' AND ord = 2 ORDER BY verif_id NULLS FIRST LIMIT 1000")
+def layer_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first thousand rows of a layer: the number asked for is the feature."""
+    return N.layer(table(spark, d, "verify_parcelle", "verif_id", "ord", "source"), {"source": "notaire", "ord": 2}, order=("verif_id",))
 
 
 @query("SELECT doc_id, 'Basic ' || to_base64(encode(filename || ':' || CAST(doc_id AS VARCHAR))) AS header FROM deeds")
@@ -797,9 +823,17 @@ _JSON = """'{"site_code":' || coalesce('"' || site_code || '"', 'null') || ',"do
 
 @query(f"SELECT doc_id, {_JSON} AS json FROM ({_FILE}) f")
 def sink_json(spark: SparkSession, d: str) -> DataFrame:
-    return _file_record(spark, d).select("doc_id", sinks.json_text(F.struct("site_code", "document_type", "document_date")).alias("json"))
+    """Records written as JSON lines and read again."""
+    path, fields = _scratch(spark, "records"), ("site_code", "document_type", "document_date")
+    sinks.write_records(_file_record(spark, d).select("doc_id", *fields), path)
+    back = spark.read.schema("doc_id bigint, " + ", ".join(f"{f} string" for f in fields)).json(path)
+    return back.select("doc_id", sinks.json_text(F.struct(*fields)).alias("json"))
 
 
 @query(f"SELECT f.doc_id, {_JSON} || chr(10) || repeat('=', 72) || chr(10) || chr(10) || coalesce(t.text, '') AS content FROM ({_FILE}) f JOIN deeds t USING (doc_id)")
 def sink_header_text(spark: SparkSession, d: str) -> DataFrame:
-    return _file_record(spark, d).select("doc_id", sinks.headed_text(F.struct("site_code", "document_type", "document_date"), F.col("text")).alias("content"))
+    """Records with their texts written as files and read again."""
+    path, record = _scratch(spark, "headed"), F.struct("site_code", "document_type", "document_date")
+    sinks.write_texts(_file_record(spark, d).select("doc_id", sinks.headed_text(record, F.col("text")).alias("content")), path, text="content")
+    back = spark.read.format("text").option("wholetext", "true").schema("value string, _key bigint").load(path)
+    return back.select(F.col("_key").alias("doc_id"), F.regexp_replace("value", r"\n\z", "").alias("content"))
