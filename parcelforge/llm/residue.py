@@ -47,9 +47,11 @@ SIGNS = ".,;:!?'\"()[]{}<>_|#$%&*+-/=@©…"
 _FIELD_SIGN = np.zeros(64, bool)
 _FIELD_SIGN[[30 + SIGNS.index(c) for c in "\"[]{}<>_#$%…"]] = True
 #: Characters round a sign in which shapes are looked at.
-SIGN_REACH = 80
+SIGN_REACH = 48
 #: Positions from one window of letters to the next; windows reach over several steps, so that no character is left out.
 STEP = 4
+#: Texts whose shapes are looked at together.
+TOGETHER = 32
 #: Fits on the corpus.
 FITS = 2
 
@@ -299,9 +301,9 @@ def buckets(text: str, of: np.ndarray | None = None) -> np.ndarray:
 def kind_table() -> np.ndarray:
     """Kind below 64 of every code point: lower-case letter, capital, digit, space, line end, each common sign, other."""
     table = np.full(0x110000, 63, np.uint8)
-    table[0] = 0
+    table[0], table[1] = 0, 7
     signs = ".,;:!?'\"()[]{}<>_|#$%&*+-/=@«»„“”‘’‹›…°§"
-    for c in range(1, 0x3000):
+    for c in range(2, 0x3000):
         ch = chr(c)
         kind = unicodedata.category(ch)
         if ch in signs:
@@ -358,6 +360,24 @@ def shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bucket, starts
 
 
+class Shapes:
+    """Shapes of the parts near signs of several texts, looked at together: bucket of each n-gram, size of each run, the runs at which
+    the texts begin, and the n-grams that reach over two texts."""
+
+    def __init__(self, nears: list[str]):
+        parts = [f"\n{near}\n\x01" for near in nears]
+        whole = "".join(parts)
+        self.bucket, starts = shapes(whole)
+        self.size = np.diff(starts, append=len(whole))
+        self.bounds = np.searchsorted(starts, np.cumsum([0, *map(len, parts)]))
+        ends = self.bounds[1:] - 1
+        self.between = (ends[:, None] + np.arange(SHAPE_GRAM)).ravel()
+
+    def buckets_of(self, i: int) -> np.ndarray:
+        """The n-grams that lie in text i."""
+        return self.bucket[self.bounds[i] + SHAPE_GRAM - 1 : self.bounds[i + 1] - 1]
+
+
 def head_of(text: str) -> int:
     """End of the lines that stand before a decision's first paragraph."""
     at = 0
@@ -405,23 +425,21 @@ class Models:
             np.maximum(best, of_class, out=best)
         return last - (best & 7), best >= 8
 
-    def field_chars(self, near: str, shaped: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Characters in windows of unfilled fields, of a text's parts near signs (`shaped`: their shapes, if known)."""
-        if not near:
-            return 0
-        bucket, starts = shapes(near) if shaped is None else shaped
-        ratio = self.ratio[bucket]
-        if not (ratio > 1).any():
-            return 0
+    def field_chars(self, shaped: Shapes) -> np.ndarray:
+        """Characters in windows of unfilled fields, for each of the texts."""
+        ratio = self.ratio[shaped.bucket]
+        ratio[shaped.between] = 0.0
         total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
-        low = np.arange(len(ratio))
-        high = np.minimum(low + SHAPE_WINDOW, len(ratio))
-        hits = np.flatnonzero(total[high] - total[low] >= FIELD_RATIO)
-        # the runs all of whose n-grams lie in the window: n-gram i covers the runs from i - SHAPE_GRAM + 1 on, by their numbers
-        covered = np.zeros(len(starts) + 1, bool)
-        for i in hits:
-            covered[i : min(i + SHAPE_WINDOW - SHAPE_GRAM + 1, len(starts))] = True
-        return int(np.diff(starts, append=len(near))[covered[:-1]].sum())
+        # no window reaches over the end of its text
+        low = np.arange(len(shaped.size))
+        end = np.repeat(shaped.bounds[1:] - 1, np.diff(shaped.bounds))
+        hits = np.flatnonzero(total[np.minimum(low + SHAPE_WINDOW, end)] - total[low] >= FIELD_RATIO)
+        # the runs all of whose n-grams lie in a window: n-gram i covers the runs from i - SHAPE_GRAM + 1 on, by their numbers
+        covered = np.zeros(len(shaped.size), bool)
+        for k in range(SHAPE_WINDOW - SHAPE_GRAM + 1):
+            covered[np.minimum(hits + k, end[hits] - 1)] = True
+        chars = np.concatenate([[0], np.cumsum(np.where(covered, shaped.size, 0))])
+        return np.diff(chars[shaped.bounds])
 
 
 def _seed_wordings() -> Iterator[tuple[int, str, float]]:
@@ -492,31 +510,35 @@ class Shown:
     def close(self) -> Shown:
         """Add up what is still open."""
         for k, parts in self._open.items():
-            at, weights = np.concatenate([f for f, _ in parts]), np.repeat([w for _, w in parts], [len(f) for f, _ in parts])
             row = self.letters[k] if k >= 0 else self.shapes
-            row += np.bincount(at, weights, len(row))
+            for weight in {w for _, w in parts}:
+                row += weight * np.bincount(np.concatenate([f for f, w in parts if w == weight]), minlength=len(row))
         self._open, self._size = {}, 0
         return self
 
-    def add(self, text: str, weight: float, models: Models) -> None:
-        of = symbols(text)
-        found, near = buckets(text, of), near_signs(text, of)
-        shaped = shapes(near) if near else None
-        k, told = models.classes(text, found)
-        v = verdict(k, told, models.field_chars(near, shaped))
-        if is_told(v):  # the parts that are told; unknown wordings of the same text follow in the next fit
-            at, told = np.repeat(k, STEP)[: len(found)], np.repeat(told, STEP)[: len(found)]
-            for c in (NAVIGATION, NOTICE, FILLER):
-                self._count(c, found[told & (at == c)], weight)
-            return
-        if models.texts and has_field(v):  # the seeds alone don't show enough text to tell fields from it
-            return
-        head = head_of(text)
-        self._count(HEADING, buckets(text[:head]), weight)
-        self._count(PROSE, found[head:], weight)
-        if shaped:
-            self._count(-1, shaped[0], weight)
-        self.texts += weight
+    def add(self, texts: list[str], weights: list[float], models: Models) -> None:
+        for at in range(0, len(texts), TOGETHER):
+            self._add(texts[at : at + TOGETHER], weights[at : at + TOGETHER], models)
+
+    def _add(self, texts: list[str], weights: list[float], models: Models) -> None:
+        of = [symbols(t) for t in texts]
+        shaped = Shapes([near_signs(t, s) for t, s in zip(texts, of, strict=True)])
+        for i, (text, weight, field_chars) in enumerate(zip(texts, weights, models.field_chars(shaped).tolist(), strict=True)):
+            found = buckets(text, of[i])
+            k, told = models.classes(text, found)
+            v = verdict(k, told, field_chars)
+            if is_told(v):  # the parts that are told; unknown wordings of the same text follow in the next fit
+                at, told = np.repeat(k, STEP)[: len(found)], np.repeat(told, STEP)[: len(found)]
+                for c in (NAVIGATION, NOTICE, FILLER):
+                    self._count(c, found[told & (at == c)], weight)
+                continue
+            if models.texts and has_field(v):  # the seeds alone don't show enough text to tell fields from it
+                continue
+            head = head_of(text)
+            self._count(HEADING, buckets(text[:head]), weight)
+            self._count(PROSE, found[head:], weight)
+            self._count(-1, shaped.buckets_of(i), weight)
+            self.texts += weight
 
 
 def models_of(shown: Shown | None = None) -> Models:
@@ -545,9 +567,18 @@ def verdict(k: np.ndarray, told: np.ndarray, field_chars: int) -> Verdict:
     return Verdict(int(size[NOTICE]), int(size[FILLER]), int(size[PROSE]), field_chars)
 
 
+def judge_all(texts: list[str], models: Models) -> list[Verdict]:
+    out = []
+    for at in range(0, len(texts), TOGETHER):
+        some = texts[at : at + TOGETHER]
+        of = [symbols(t) for t in some]
+        fields = models.field_chars(Shapes([near_signs(t, s) for t, s in zip(some, of, strict=True)]))
+        out += [verdict(*models.classes(t, buckets(t, s)), f) for t, s, f in zip(some, of, fields.tolist(), strict=True)]
+    return out
+
+
 def judge(text: str, models: Models) -> Verdict:
-    of = symbols(text)
-    return verdict(*models.classes(text, buckets(text, of)), models.field_chars(near_signs(text, of)))
+    return judge_all([text], models)[0]
 
 
 def is_told(v: Verdict, coverage: float = COVERAGE) -> bool:
@@ -563,6 +594,11 @@ def is_residue(v: Verdict) -> bool:
     return is_told(v) or has_field(v)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, TOGETHER):
+        yield batch.slice(at, TOGETHER)
+
+
 def with_text(docs: DataFrame) -> DataFrame:
     """Rows whose text is not null, empty or blank."""
     return docs.where(F.col("text").rlike(r"(?U)\S"))
@@ -592,8 +628,8 @@ def fit_models(texts: list[str]) -> Models:
     models = models_of()
     for _ in range(FITS):
         shown = Shown()
-        for t in dict.fromkeys(texts):
-            shown.add(t, 1.0, models)
+        different = list(dict.fromkeys(texts))
+        shown.add(different, [1.0] * len(different), models)
         models = models_of(shown.close())
     return models
 
@@ -606,8 +642,8 @@ def _fit(texts: DataFrame, models: Models) -> Models:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = Shown()
         for batch in batches:
-            for t, w in zip(batch.column("text"), batch.column("weight"), strict=True):
-                shown.add(t.as_py(), w.as_py(), shared.value)
+            for b in slices(batch):
+                shown.add(b.column("text").to_pylist(), b.column("weight").to_pylist(), shared.value)
         shown.close()
         table = np.zeros((len(names), BUCKETS + 1), np.float32)
         table[:-1, :BUCKETS], table[-1, :SHAPE_BUCKETS], table[-1, BUCKETS] = shown.letters, shown.shapes, shown.texts
@@ -631,8 +667,8 @@ def judged_texts(docs: DataFrame, models: Models | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            got = [judge(t.as_py(), m) for t in batch.column("text")]
+        for batch in (b for whole in batches for b in slices(whole)):
+            got = judge_all(batch.column("text").to_pylist(), m)
             columns = [pa.array([getattr(v, a) for v in got], pa.int64()) for a in ("notice", "filler", "prose", "field_chars")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([is_residue(v) for v in got], pa.bool_())], ["doc_id", "n_notice", "n_filler", "n_prose", "n_field", "residue"])
 

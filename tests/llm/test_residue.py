@@ -70,9 +70,15 @@ def test_field_windows_localise(models):
     text = prose(40) + " de {{nom du lieu}} à " + prose(40, 2)
     near = residue.near_signs(text)
     assert "{{nom du lieu}}" in near
-    assert 2 <= models.field_chars(near) <= 40
-    assert models.field_chars(residue.near_signs(prose(40))) == 0
-    assert models.field_chars("") == 0
+    assert 2 <= residue.judge(text, models).field_chars <= 40
+    assert residue.judge(prose(40), models).field_chars == 0
+    assert residue.near_signs("Aucun signe ici.") == "" and residue.judge("Aucun signe ici.", models).field_chars == 0
+
+
+def test_texts_together_or_alone(models):
+    """Texts looked at together are judged as alone."""
+    texts = [prose(6), "", prose(3) + " ${lieu du bien} euros", "x {{", "nom du lieu}} y", "{{a b}}", prose(2) + " [12] <<", ">> et [X]"] * 9
+    assert residue.judge_all(texts, models) == [residue.judge(t, models) for t in texts]
 
 
 def _normal(text):
