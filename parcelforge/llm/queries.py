@@ -55,7 +55,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """How many texts are excluded, by what they hold."""
     v = residue.judged_texts(table(spark, d, "documents", "doc_id", "text"))
-    kind = F.when(~F.col("residue"), "kept").when(F.col("n_fields") > 0, "field").when(F.col("n_notice") >= F.col("n_filler"), "notice").otherwise("filler")
+    kind = F.when(~F.col("residue"), "kept").when(F.col("n_field") >= residue.FIELD_CHARS, "field").when(F.col("n_notice") >= F.col("n_filler"), "notice").otherwise("filler")
     return v.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_docs"))
 
 
