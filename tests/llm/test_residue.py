@@ -75,6 +75,13 @@ def test_field_windows_localise(models):
     assert residue.near_signs("Aucun signe ici.") == "" and residue.judge("Aucun signe ici.", models).field_chars == 0
 
 
+def test_symbols_by_bytes():
+    """The ways to a text's symbols agree."""
+    for text in ("Été n° 12 – « où » …\n", "l’œuvre — „Zitat“ €", "█ 日本 ß", "", "a\t\x0b\x85\xa0b"):
+        codes = [ord(c) for c in text]
+        assert residue.symbols(text).tolist() == [int(residue.symbol_table()[c]) for c in codes]
+
+
 def test_texts_together_or_alone(models):
     """Texts looked at together are judged as alone."""
     texts = [prose(6), "", prose(3) + " ${lieu du bien} euros", "x {{", "nom du lieu}} y", "{{a b}}", prose(2) + " [12] <<", ">> et [X]"] * 9
