@@ -269,7 +269,9 @@ def misread_words(lines: DataFrame, heads: DataFrame, tails: DataFrame, met: Dat
     wrong = wrong.select("token", "word", F.when(mixed, F.translate("word", letters, digits)).otherwise(F.col("right")).alias("right")).where("right is not null")
     every = whole_tokens(lines.where("s is not null").select(*PAGE, "n", "s", is_broken(F.col("s")).alias("broken"), is_broken(F.col("before")).alias("after_broken")))
     got = every.select(*PAGE, "n", "token").join(bounded(cut_lineage(wrong), 500_000), "token").select(*PAGE, "n", "word", "right")
-    return got.join(heads, [*PAGE, "n"], "left_anti").join(tails, [*PAGE, "n", "word"], "left_anti")
+    # an anti-join here would be moved below the one with the corrections and shuffle every token
+    got = got.join(heads.withColumn("is_head", F.lit(True)), [*PAGE, "n"], "left").where("is_head is null").drop("is_head")
+    return got.join(tails, [*PAGE, "n", "word"], "left_anti")
 
 
 class Noise(NamedTuple):
